@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maillake.llm import chat, common, exact, simhash
+from maillake.llm import chat, common, embed, exact, langid, mixing, pieces, simhash, tokencount
 
 
 def _shipped(f):
@@ -16,8 +16,13 @@ def _shipped(f):
 def queries() -> dict:
     found = {
         "op1_simhash_near_dedup": simhash.query,
+        "op2_sentencepiece": pieces.query,
         "op4_exact_dedup": exact.query,
+        "op5_token_counts": tokencount.query,
         "op6_chat_formatting": chat.query,
+        "op8_mixing": mixing.query,
+        "op9_language_id": langid.query,
+        "op10_embedding_near_dedup": embed.query,
     }
     return {k: _shipped(f) for k, f in found.items()}
 
