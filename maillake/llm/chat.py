@@ -40,30 +40,25 @@ def fold(events: DataFrame) -> DataFrame:
     e = events.select(
         "conv_id", "turn", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    again = F.col("kind") == "regenerate"
-    # per turn the last regeneration, then its running maximum over earlier turns: narrow rows only
-    cuts = e.groupBy("conv_id", "turn").agg(F.max(F.when(again, F.col("seq"))).alias("cut"))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = cuts.withColumn("cut", F.max("cut").over(w)).select(
-        F.col("conv_id").alias("c"), F.col("turn").alias("t"), "cut"
+    # one group a message; rows already spread by conv_id aren't moved again
+    g = e.groupBy("conv_id", "turn").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "kind", "text", "role"))).alias("log"),
+        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("cut"),
     )
-    live = e.join(cuts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))).where(
-        "cut is null or seq >= cut"
+    # the last regeneration of this or an earlier turn
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    live = g.withColumn("cut", F.max("cut").over(w)).withColumn(
+        "log", F.filter("log", lambda x: F.col("cut").isNull() | (x["seq"] >= F.col("cut")))
     )
-    order = F.struct("seq", "kind", "text", "role")
-    resets = F.col("kind").isin("start", "edit", "regenerate")
-    opens = F.col("kind").isin("start", "regenerate")
-    g = live.groupBy("conv_id", "turn").agg(
-        F.array_sort(F.collect_list(order)).alias("log"),
-        F.max(F.when(resets, order)).alias("reset"),
-        F.coalesce(F.max(F.when(opens, order))["role"], F.min(order)["role"]).alias("role"),
+    last = lambda *kinds: F.array_max(F.filter("log", lambda x: x["kind"].isin(*kinds)))
+    live = live.where(F.size("log") > 0).withColumns(
+        {"reset": last("start", "edit", "regenerate"), "role": F.coalesce(last("start", "regenerate")["role"], F.col("log")[0]["role"])}
     )
-    kept = F.filter("log", lambda x: F.col("reset").isNull() | (x >= F.col("reset")))
-    # of equal rows that reset, the last one wins and the text counts once
-    once = F.when(F.col("reset").isNull(), kept).otherwise(
-        F.concat(F.array("reset"), F.filter(kept, lambda x: x > F.col("reset")))
+    # of equal rows that reset, the text counts once
+    kept = F.when(F.col("reset").isNull(), F.col("log")).otherwise(
+        F.concat(F.array("reset"), F.filter("log", lambda x: x > F.col("reset")))
     )
-    return g.select("conv_id", "turn", "role", F.array_join(F.transform(once, lambda x: x["text"]), "").alias("text"))
+    return live.select("conv_id", "turn", "role", F.array_join(F.transform(kept, lambda x: x["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

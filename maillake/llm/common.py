@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,6 +47,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table into the shared folder and read it again: a cut for rows that compress well."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of an id bitmap: 256 buckets of 32768, 1 MB.
+BITS = 1 << 23
+
+
+def id_position(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BITS))
+
+
+def id_bitmap(positions: DataFrame) -> DataFrame:
+    """(bucket, bits) of a column pos: at most 256 rows of 4 KB, whatever the input."""
+    return positions.groupBy(F.floor(F.col("pos") / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.col("pos") % 32768).alias("bits"))
+
+
+def with_hit(rows: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
+    """Add a column hit: false only where no id of the bitmap equals key."""
+    pos = id_position(key)
+    rows = rows.withColumns({"_pos": pos, "bucket": F.floor(pos / 32768)}).join(F.broadcast(bitmap), "bucket", "left")
+    byte = F.conv(F.hex(F.substr("bits", (F.col("_pos") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (F.col("_pos") % 8).cast("int")).bitwiseAND(1)
+    return rows.withColumn("hit", F.coalesce(bit == 1, F.lit(False))).drop("bucket", "bits", "_pos")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in dropped (doc_id); only rows that may be dropped are moved."""
+    dropped = cut(dropped.select("doc_id"))
+    rows = with_hit(docs.withColumn("_key", F.col("doc_id")), F.col("_key"), id_bitmap(dropped.select(id_position(F.col("doc_id")).alias("pos"))))
+    gone = dropped.select(F.col("doc_id").alias("_key"))
+    return rows.where("hit").join(gone, "_key", "left_anti").select(docs.columns).union(rows.where("not hit").select(docs.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

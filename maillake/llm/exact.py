@@ -16,17 +16,11 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maillake.llm.common import cut, squeezed, table
+from maillake.llm.common import cut, id_bitmap, id_position, squeezed, table, with_hit
 
 PREFIX = 64
-#: Bits of the survivors' bitmap: 256 buckets of 32768.
-BITS = 1 << 23
-
-
-def _position(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(BITS))
 
 
 def survivors_bitmap(docs: DataFrame) -> DataFrame:
@@ -34,7 +28,7 @@ def survivors_bitmap(docs: DataFrame) -> DataFrame:
     norm = squeezed(F.col("text"))
     narrow = cut(
         docs.select(
-            _position(F.col("doc_id")).alias("pos"), F.length(norm).alias("len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("head")
+            id_position(F.col("doc_id")).alias("pos"), F.length(norm).alias("len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("head")
         )
     )
     # refine by length, then by prefix; `pos` of the lone rows goes nowhere
@@ -42,22 +36,14 @@ def survivors_bitmap(docs: DataFrame) -> DataFrame:
     some = narrow.join(lengths, "len", "left_semi")
     heads = some.groupBy("len", "head").agg(F.count("*").alias("n")).where("n > 1").select("len", "head")
     left = some.join(heads, ["len", "head"], "left_semi")
-    return left.groupBy(F.floor(F.col("pos") / 32768).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.col("pos") % 32768).alias("bits")
-    )
+    return id_bitmap(left)
 
 
 def exact_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept; text_sha256 too if `digest`."""
     sha = F.sha2(squeezed(F.col("text")).cast("binary"), 256)
     bitmap = cut(survivors_bitmap(docs))
-    pos = _position(F.col("doc_id"))
-    byte = F.conv(F.hex(F.substr("bits", (F.col("pos") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    rows = docs.select("doc_id", "text", pos.alias("pos"), F.floor(pos / 32768).alias("bucket"))
-    rows = rows.join(F.broadcast(bitmap), "bucket", "left")
-    bit = F.call_function("shiftright", byte, (F.col("pos") % 8).cast("int")).bitwiseAND(1)
-    hit = F.coalesce(bit == 1, F.lit(False))
-    rows = rows.withColumn("hit", hit)
+    rows = with_hit(docs.select("doc_id", "text"), F.col("doc_id"), bitmap)
     full = cut(
         rows.select("doc_id", "hit", F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.when(F.col("hit") | F.lit(digest), sha).alias("sha"))
     )

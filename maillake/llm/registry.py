@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maillake.llm import chat, common, embed, exact, langid, mixing, pieces, simhash, tokencount
+from maillake.llm import chat, common, embed, exact, langid, mixing, phrases, pieces, rlindex, simhash, tokencount
 
 
 def _shipped(f):
@@ -13,16 +13,25 @@ def _shipped(f):
     return run
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     found = {
         "op1_simhash_near_dedup": simhash.query,
         "op2_sentencepiece": pieces.query,
+        "op3_suffix_array_dedup": rlindex.query,
         "op4_exact_dedup": exact.query,
         "op5_token_counts": tokencount.query,
         "op6_chat_formatting": chat.query,
+        "op7_substring_dedup": phrases.query,
         "op8_mixing": mixing.query,
         "op9_language_id": langid.query,
         "op10_embedding_near_dedup": embed.query,
+        "pipeline": _pipeline,
     }
     return {k: _shipped(f) for k, f in found.items()}
 

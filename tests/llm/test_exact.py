@@ -32,7 +32,7 @@ def test_edge_rows(spark):
 
 def test_full_text_is_read_for_survivors_only(spark):
     df = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "ccc"), (4, "a a")], DOCS)
-    positions = {r[0]: r[1] for r in df.select("doc_id", exact._position(F.col("doc_id"))).collect()}
+    positions = {r[0]: r[1] for r in df.select("doc_id", exact.id_position(F.col("doc_id"))).collect()}
     marked = set()
     for r in exact.survivors_bitmap(df).collect():
         marked |= {r.bucket * 32768 + 8 * i + k for i, b in enumerate(r.bits) for k in range(8) if b >> k & 1}
