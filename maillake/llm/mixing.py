@@ -2,7 +2,10 @@
 
 Tokens are counted by source, language and topic; raking scales the cells of that table until its
 source, language and topic marginals meet the targets; a document is then sampled with its cell's
-calibrated probability, by a hash of its id, so a rerun task draws alike.
+calibrated probability, by a hash of its id, so a rerun task draws alike. The probability is the cell's
+weight (target over actual share) times a scale. With `keep` the scale is such that this share of all
+tokens is expected; cells that would pass 1 are taken whole, once, and their marginals fall short by what
+they lack. Without `keep` it is the largest scale that passes 1 nowhere, and the marginals are met exactly.
 
 Values outside the targets form one class, `OTHER`, per marginal and keep their actual share, so the
 table has at most (sources + 1) (languages + 1) (topics + 1) cells, set by the targets and not by the
@@ -25,6 +28,8 @@ from maillake.llm.common import table
 OTHER = "__other__"
 MARGINALS = ("source", "lang", "topic")
 SEED = 20240501
+#: Share of all tokens that is sampled.
+KEEP = 0.7
 #: Production targets: the largest source is brought down, small languages up a little.
 TARGETS = {
     "source": {"src0": 0.27, **{f"src{i}": 0.73 / 19 for i in range(1, 20)}},
@@ -76,7 +81,20 @@ def _cells(docs: DataFrame, targets: dict, topic_of: Column) -> DataFrame:
     return docs.select("doc_id", *classes, tokens(F.col("text")).alias("n_tokens"))
 
 
-def calibrate(counts: DataFrame, targets: dict) -> list[tuple[str, str, str, float, float]]:
+def scale_for(n: np.ndarray, weight: np.ndarray, keep: float | None) -> float:
+    """The scale of weights by which the expected share of tokens is `keep`, repeats excluded."""
+    if keep is None:
+        return 1 / weight[n > 0].max()
+    if not 0 < keep <= 1:
+        raise ValueError("keep is a share")
+    low, high = 0.0, 1 / weight[n > 0].min()
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (low, middle) if (n * np.minimum(1, middle * weight)).sum() > keep * n.sum() else (middle, high)
+    return high
+
+
+def calibrate(counts: DataFrame, targets: dict, keep: float | None) -> list[tuple[str, str, str, float, float]]:
     """(source, lang, topic, weight, probability) of each cell; weight is target over actual share."""
     rows = counts.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("n")).collect()  # bounded by the targets
     names = [[*targets[m], OTHER] for m in MARGINALS]
@@ -88,32 +106,29 @@ def calibrate(counts: DataFrame, targets: dict) -> list[tuple[str, str, str, flo
         return [(*(r[m] for m in MARGINALS), 1.0, 1.0) for r in rows]
     want = [shares(cells.sum(tuple(j for j in range(3) if j != i)), targets[m], names[i]) for i, m in enumerate(MARGINALS)]
     weight = np.divide(rake(cells, want), cells / cells.sum(), out=np.ones_like(cells), where=cells > 0)
-    most = weight[cells > 0].max()
+    scale = scale_for(cells, weight, keep)
     out = []
     for r in rows:
         w = float(weight[tuple(a[r[m]] for a, m in zip(at, MARGINALS))])
-        out.append((*(r[m] for m in MARGINALS), w, min(1.0, w / float(most))))
+        out.append((*(r[m] for m in MARGINALS), w, min(1.0, w * scale)))
     return out
 
 
-def mix(docs: DataFrame, targets: dict = TARGETS, topic_of: Column | None = None, seed: int = SEED) -> DataFrame:
-    """One row per row of docs (doc_id, text, source, lang): doc_id, source, lang, topic, n_tokens, weight, probability, kept.
-
-    Expected sampled tokens have the target marginals; the scale is the largest that needs no repeats.
-    """
+def mix(docs: DataFrame, targets: dict = TARGETS, topic_of: Column | None = None, seed: int = SEED, keep: float | None = KEEP) -> DataFrame:
+    """One row per row of docs (doc_id, text, source, lang): doc_id, source, lang, topic, n_tokens, weight, probability, kept."""
     rows = _cells(docs, targets, topic(F.col("text")) if topic_of is None else topic_of)
     spark = docs.sparkSession
-    found = calibrate(rows, targets)
+    found = calibrate(rows, targets, keep)
     cells = spark.createDataFrame(found, "source string, lang string, topic string, weight double, probability double")
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     out = rows.join(F.broadcast(cells), list(MARGINALS), "left")
     return out.select("doc_id", *MARGINALS, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("kept"))
 
 
-def sample(docs: DataFrame, targets: dict = TARGETS, seed: int = SEED) -> DataFrame:
+def sample(docs: DataFrame, targets: dict = TARGETS, seed: int = SEED, keep: float | None = KEEP) -> DataFrame:
     """The rows of docs that are drawn, all columns kept; the cell is looked up beside the text, without a shuffle."""
     kinds = _cells(docs, targets, topic(F.col("text")))
-    found = calibrate(kinds, targets)
+    found = calibrate(kinds, targets, keep)
     names = {"_s": F.col("source"), "_l": F.col("lang"), "_t": topic(F.col("text"))}
     cells = docs.sparkSession.createDataFrame([(s, l, t, p) for s, l, t, _, p in found], "_s string, _l string, _t string, _p double")
     rows = docs.withColumns({k: F.when(c.isin(list(targets[m])), c).otherwise(OTHER) for (k, c), m in zip(names.items(), MARGINALS)})

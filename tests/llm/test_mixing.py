@@ -18,7 +18,7 @@ def docs(spark, n=4000):
 
 
 def test_calibrated_weights_meet_the_marginals(spark):
-    r = mixing.mix(docs(spark), TARGETS).toPandas()
+    r = mixing.mix(docs(spark), TARGETS, keep=None).toPandas()
     total = r.n_tokens.sum()
     w = (r.n_tokens * r.weight).groupby(r.source).sum() / total
     other = r.n_tokens[r.source == mixing.OTHER].sum() / total
@@ -34,14 +34,22 @@ def test_calibrated_weights_meet_the_marginals(spark):
 
 def test_sampled_tokens_follow_the_targets(spark):
     d = docs(spark, 20_000)
-    r = mixing.mix(d, TARGETS).toPandas()
+    r = mixing.mix(d, TARGETS, keep=None).toPandas()
     k = r[r.kept]
     share = k.n_tokens.groupby(k.source).sum() / k.n_tokens.sum()
     assert abs(share["a"] - share["b"]) < 0.04
-    kept = mixing.sample(d, TARGETS)
+    kept = mixing.sample(d, TARGETS, keep=None)
     assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == set(k.doc_id)
 
 
+def test_keep_sets_the_expected_share(spark):
+    r = mixing.mix(docs(spark), TARGETS, keep=0.6).toPandas()
+    assert abs((r.n_tokens * r.probability).sum() / r.n_tokens.sum() - 0.6) < 1e-6
+    free = r[r.probability < 1]
+    np.testing.assert_allclose(free.probability / free.weight, (free.probability / free.weight).iloc[0])
+    assert (mixing.mix(docs(spark), TARGETS, keep=1.0).toPandas().probability == 1).all()
+
+
 def test_rake_equals_a_plain_loop():
     rng = np.random.default_rng(2)
     cells = rng.random((3, 4, 2)) * (rng.random((3, 4, 2)) > 0.2)
