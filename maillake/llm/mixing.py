@@ -110,7 +110,7 @@ def calibrate(counts: DataFrame, targets: dict, keep: float | None) -> list[tupl
     out = []
     for r in rows:
         w = float(weight[tuple(a[r[m]] for a, m in zip(at, MARGINALS))])
-        out.append((*(r[m] for m in MARGINALS), w, min(1.0, w * scale)))
+        out.append((*(r[m] for m in MARGINALS), w, min(1.0, float(w * scale))))
     return out
 
 
