@@ -67,21 +67,26 @@ def id_bitmap(positions: DataFrame) -> DataFrame:
     return positions.groupBy(F.floor(F.col("pos") / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.col("pos") % 32768).alias("bits"))
 
 
+#: Columns that helpers add; a name that no table uses.
+HIT, KEY, _POS, _BUCKET, _BITS = (f"__maillake_{x}" for x in ("hit", "key", "pos", "bucket", "bits"))
+
+
 def with_hit(rows: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
-    """Add a column hit: false only where no id of the bitmap equals key."""
+    """Add a column HIT: false only where no id of the bitmap equals key."""
     pos = id_position(key)
-    rows = rows.withColumns({"_pos": pos, "bucket": F.floor(pos / 32768)}).join(F.broadcast(bitmap), "bucket", "left")
-    byte = F.conv(F.hex(F.substr("bits", (F.col("_pos") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.call_function("shiftright", byte, (F.col("_pos") % 8).cast("int")).bitwiseAND(1)
-    return rows.withColumn("hit", F.coalesce(bit == 1, F.lit(False))).drop("bucket", "bits", "_pos")
+    rows = rows.withColumns({_POS: pos, _BUCKET: F.floor(pos / 32768)}).join(F.broadcast(bitmap.toDF(_BUCKET, _BITS)), _BUCKET, "left")
+    byte = F.conv(F.hex(F.substr(_BITS, (F.col(_POS) % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (F.col(_POS) % 8).cast("int")).bitwiseAND(1)
+    return rows.withColumn(HIT, F.coalesce(bit == 1, F.lit(False))).drop(_POS, _BUCKET, _BITS)
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't in dropped (doc_id); only rows that may be dropped are moved."""
     dropped = cut(dropped.select("doc_id"))
-    rows = with_hit(docs.withColumn("_key", F.col("doc_id")), F.col("_key"), id_bitmap(dropped.select(id_position(F.col("doc_id")).alias("pos"))))
-    gone = dropped.select(F.col("doc_id").alias("_key"))
-    return rows.where("hit").join(gone, "_key", "left_anti").select(docs.columns).union(rows.where("not hit").select(docs.columns))
+    rows = with_hit(docs.withColumn(KEY, F.col("doc_id")), F.col(KEY), id_bitmap(dropped.select(id_position(F.col("doc_id")).alias("pos"))))
+    gone = dropped.select(F.col("doc_id").alias(KEY))
+    near = rows.where(F.col(HIT)).join(gone, KEY, "left_anti").select(docs.columns)
+    return near.union(rows.where(~F.col(HIT)).select(docs.columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

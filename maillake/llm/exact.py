@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maillake.llm.common import cut, id_bitmap, id_position, squeezed, table, with_hit
+from maillake.llm.common import HIT, cut, id_bitmap, id_position, squeezed, table, with_hit
 
 PREFIX = 64
 
@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     bitmap = cut(survivors_bitmap(docs))
     rows = with_hit(docs.select("doc_id", "text"), F.col("doc_id"), bitmap)
     full = cut(
-        rows.select("doc_id", "hit", F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.when(F.col("hit") | F.lit(digest), sha).alias("sha"))
+        rows.select("doc_id", F.col(HIT).alias("hit"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.when(F.col(HIT) | F.lit(digest), sha).alias("sha"))
     )
     found = full.where("hit")
     best = F.max(F.struct("chars", (-F.col("doc_id")).alias("low")))

@@ -129,11 +129,11 @@ def sample(docs: DataFrame, targets: dict = TARGETS, seed: int = SEED, keep: flo
     """The rows of docs that are drawn, all columns kept; the cell is looked up beside the text, without a shuffle."""
     kinds = _cells(docs, targets, topic(F.col("text")))
     found = calibrate(kinds, targets, keep)
-    names = {"_s": F.col("source"), "_l": F.col("lang"), "_t": topic(F.col("text"))}
-    cells = docs.sparkSession.createDataFrame([(s, l, t, p) for s, l, t, _, p in found], "_s string, _l string, _t string, _p double")
+    names = {"__maillake_s": F.col("source"), "__maillake_l": F.col("lang"), "__maillake_t": topic(F.col("text"))}
+    cells = docs.sparkSession.createDataFrame([(s, l, t, p) for s, l, t, _, p in found], "__maillake_s string, __maillake_l string, __maillake_t string, __maillake_p double")
     rows = docs.withColumns({k: F.when(c.isin(list(targets[m])), c).otherwise(OTHER) for (k, c), m in zip(names.items(), MARGINALS)})
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    return rows.join(F.broadcast(cells), list(names), "left").where(draw < F.col("_p")).select(docs.columns)
+    return rows.join(F.broadcast(cells), list(names), "left").where(draw < F.col("__maillake_p")).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from maillake.llm.common import id_bitmap, id_position, stored, with_hit
+from maillake.llm.common import HIT, id_bitmap, id_position, stored, with_hit
 
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: after all others
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -229,8 +229,8 @@ def finish(docs: DataFrame, marks: DataFrame, work: Callable[[bytes, list], tupl
     rows = with_hit(docs.select("doc_id", F.col("text").cast("binary").alias("text"), key.alias("_key")), F.col("_key"), bitmap)
     lists = marks.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
     kind = "array<struct<start:bigint,stop:bigint>>"
-    touched = rows.where("hit").join(lists, "_key", "left").select("doc_id", "text", F.col("marks").cast(kind))
-    others = rows.where("not hit").select("doc_id", "text", F.lit(None).cast(kind).alias("marks"))
+    touched = rows.where(F.col(HIT)).join(lists, "_key", "left").select("doc_id", "text", F.col("marks").cast(kind))
+    others = rows.where(~F.col(HIT)).select("doc_id", "text", F.lit(None).cast(kind).alias("marks"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
