@@ -1 +1,14 @@
 """Spark-native engine for mail archives and training-data preparation."""
+
+from maillake.options import CompressionError, ConvertOptions, ReadError
+
+__all__ = ["CompressionError", "CompressResult", "ConvertOptions", "ConvertStats", "ReadError", "compress_mbox", "convert", "parse_messages", "read_mbox", "register"]
+_HOME = {"CompressResult": "compress", "compress_mbox": "compress", "ConvertStats": "plans.convert", "convert": "plans.convert", "parse_messages": "functions.mime", "read_mbox": "sources.mbox", "register": "functions.sql"}
+
+
+def __getattr__(name: str):
+    if name not in _HOME:
+        raise AttributeError(name)
+    from importlib import import_module
+
+    return getattr(import_module(f"maillake.{_HOME[name]}"), name)
