@@ -33,18 +33,21 @@ from maillake.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE, CACHED_LENGTH = 400_000, 48
+CACHE, CACHED_LENGTH = 500_000, 48
 
 
 class _Memo(dict):
-    """A cache of bounded size that fills itself."""
+    """A cache of bounded size that fills itself; what was asked for since the last turn outlives it."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -72,6 +75,7 @@ class Transducer:
         byte = {p.piece: i for i, p in enumerate(m.pieces) if p.type == kind.BYTE}
         self.bytes = [byte.get(f"<0x{b:02X}>", self.unknown) for b in range(256)]
         self.dtype = np.dtype("<u2" if len(m.pieces) <= 1 << 16 else "<u4")
+        self.packed = {p: np.array([i], self.dtype).tobytes() for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.far = min(self.score.values(), default=0.0) - 10
         # the text each id stands for, and where white space may be cut
@@ -83,12 +87,22 @@ class Transducer:
                 back[i] = bytes([b])
         back[self.unknown] = " ⁇ ".encode()
         self.back = back
-        inner = any(MARK in p.lstrip(MARK) for p in self.ids)
-        alone = not any("\n" in p and len(p) > 1 for p in self.ids)
-        self.parts = None if inner else re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.parts = re.compile(self._cuts())
         self.adjacent = _Memo(lambda ab: self._merged(ab[0] + ab[1]) == [*filter(None, ab)], 4 * CACHE)
         self.cache = _Memo(self._path, CACHE)
 
+    def _cuts(self) -> str:
+        """A pattern of parts between which no piece lies, as far as the vocabulary allows it."""
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            return r"(?s:.+)"
+        if any("\n" in p and len(p) > 1 for p in self.ids):
+            return f"{MARK}*[^{MARK}]+|{MARK}+"
+        # after a run of letters and digits another kind of character starts a part, but for a few that pieces pair up
+        pairs = {m[0] for p in self.ids for m in re.findall(r"(?=([^\W_][\W_]))", p)}
+        other = rf"(?:[^\w{MARK}\n]|_)"
+        more = f"(?:(?<=[{re.escape(''.join(sorted(pairs)))}]){other}+[^\\W_]*)*" if pairs else ""
+        return rf"{MARK}*{other}*[^\W_]+" + more + rf"|{MARK}*{other}+|{MARK}+|\n"
+
     def _merged(self, text: str) -> list[str]:
         """The merge process on a short text."""
         s = list(text)
@@ -102,9 +116,9 @@ class Transducer:
                 return s
             s[at : at + 2] = [s[at] + s[at + 1]]
 
-    def _fallback(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        return [i] if i is not None else [self.bytes[b] for b in piece.encode()]
+    def _packed(self, piece: str) -> bytes:
+        known = self.packed.get(piece)
+        return known if known is not None else np.array([self.bytes[b] for b in piece.encode()], self.dtype).tobytes()
 
     def _path(self, part: str) -> bytes:
         """The shortest path through the lattice of one part."""
@@ -132,20 +146,20 @@ class Transducer:
         while i:
             out.append(into[i])
             i -= len(into[i])
-        return np.array([x for p in reversed(out) for x in self._fallback(p)], self.dtype).tobytes()
+        return b"".join([self._packed(p) for p in reversed(out)])
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        parts = self.parts.findall(marked) if self.parts else [marked]
+        parts = self.parts.findall(marked)
         if max(map(len, parts)) <= CACHED_LENGTH:
             return b"".join(map(self.cache.__getitem__, parts))
         return b"".join([self.cache[p] if len(p) <= CACHED_LENGTH else self._path(p) for p in parts])
 
     def decode(self, ids: np.ndarray) -> str:
         back = self.back
-        text = b"".join([back[i] for i in ids.tolist()])
+        text = b"".join(map(back.__getitem__, ids.tolist()))
         if self.prefix and text[:1] == b" ":
             text = text[1:]
         return text.decode("utf-8", "replace")
