@@ -6,6 +6,7 @@ import hashlib
 import re
 from datetime import datetime
 from pathlib import PurePath
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, functions as F
 
@@ -71,7 +72,8 @@ def ext_col(name: Column, media_type: Column, data: Column) -> Column:
     """ext_for as a when chain; data is text or binary."""
     suffix = suffix_col(name)
     typed = F.create_map(*[F.lit(x) for pair in sorted(EXTENSION.items()) for x in pair])[F.lower(media_type)]
-    head = F.lower(F.ltrim(F.substring(F.decode(data.cast("binary"), "ISO-8859-1"), 1, 16)))
+    head = F.regexp_replace(F.substring(F.decode(data.cast("binary"), "ISO-8859-1"), 1, 16), r"^[\x09-\x0D ]+", "")
+    head = F.translate(head, ascii_uppercase, ascii_lowercase)  # bytes, so ASCII letters only
     by_magic = F.coalesce(*[F.when(head.startswith(m.decode("latin-1")), e) for m, e in MAGIC])
     plain = F.when((media_type == "application/octet-stream") | typed.isNull(), F.coalesce(by_magic, typed)).otherwise(typed)
     return F.when((suffix != "") & plausible_suffix_col(suffix), suffix).otherwise(F.coalesce(plain, F.lit(".bin")))
