@@ -99,4 +99,6 @@ def runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 RUNS = r"""e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') || '/' || user_id AS path, ts FROM events),
 prev AS (SELECT * FROM e WHERE ts < TIMESTAMP '2024-01-16'), cur AS (SELECT * FROM e WHERE event_id % 4 <> 0)"""
 
-slug = text_udf("slugify")
+
+def slug(subject) -> Column:
+    return text_udf("slugify")(subject)
