@@ -9,7 +9,8 @@ An event log has the columns conv_id, seq, turn, kind, role, text. Kinds, applie
 
 The fold is decided per message: an event counts if no later regeneration reaches its turn and no
 later start or edit replaces it. So deltas of one message meet in one group, never a conversation's.
-Only the rendered conversation, which is one string, is gathered by conv_id.
+Only the rendered conversation, which is one string, is gathered by conv_id; rows that are spread by
+conv_id already are not moved for the fold.
 
 Defined cases: null text and role are empty; events of null conv_id form a conversation of their own;
 a null turn sorts first; events with equal seq apply in order of kind, then text; equal rows apply each;
