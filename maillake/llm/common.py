@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from maillake.ship import ship  # noqa: F401  (used by the queries and the pipeline)
+
 #: The white space of the contracts, as a Java and RE2 class.
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to Python workers that don't have it on their path; once per context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_maillake_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="maillake-ship-")) / "maillake.zip"
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent).as_posix())
-    out.write_bytes(buffer.getvalue())
-    sc.addPyFile(str(out))  # the driver's file server hands it to every executor
-    sc._maillake_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext

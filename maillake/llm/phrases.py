@@ -108,3 +108,17 @@ def phrase_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+s AS (SELECT doc_id, k, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS x FROM u
+  WINDOW f AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY md5(x)) AS times FROM s WHERE n = 35) WHERE times > 1),
+m AS (SELECT u.doc_id, word, u.k, max(CASE WHEN r.k IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY u.doc_id ORDER BY u.k ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM u LEFT JOIN r ON r.doc_id = u.doc_id AND r.k = u.k),
+a AS (SELECT doc_id, count(*) AS n, sum(gone) AS g, string_agg(word, ' ' ORDER BY k) FILTER (gone = 0) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(g, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""

@@ -37,4 +37,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact.SQL, "op6_chat_formatting": chat.SQL}
+    return {
+        "op3_suffix_array_dedup": rlindex.SQL,
+        "op4_exact_dedup": exact.SQL,
+        "op6_chat_formatting": chat.SQL,
+        "op7_substring_dedup": phrases.SQL,
+        "op10_embedding_near_dedup": embed.SQL,
+    }
