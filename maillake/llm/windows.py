@@ -2,22 +2,29 @@
 
 Of the grams in a window the one of least hash is its minimizer; equal windows have equal minimizers at
 equal places. Consecutive windows that share a minimizer form a segment, and the minimizer's hash names
-the segment's shard, so equal windows meet there, wherever they lie. A segment costs its text once a
-block however often it occurs; places are small numbers beside it. Blocks leave a task compressed.
-The number of shards follows the input, so a shard's size doesn't.
+the segment's shard, so equal windows meet there, wherever they lie. The number of shards follows the
+input, so a shard's size doesn't.
+
+Texts are read twice. The first time only five bytes of each minimizer's hash go to its shard, once a block,
+and the shard tells each block which of them occur elsewhere too; each block's answer is a bit a segment,
+in a file of the shared folder. The second time only segments whose minimizer recurs leave, each text once
+a block however often it occurs, its places small numbers beside it, compressed. The answers only save
+work: a block that finds none (because rows came in another order) sends all its segments.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from maillake.llm.common import HIT, id_bitmap, id_position, stored, with_hit
+from maillake.llm.common import HIT, id_bitmap, id_position, shared_dir, stored, with_hit
 
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: after all others
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -31,13 +38,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def grams(x: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of `size` (a power of two) values."""
-    n, c = 1, _C1
+    n, c = 1, int(_C1)
     while n < size:
-        x = x[:-n] * c + mixed(x[n:]) if len(x) > n else x[:0]
-        n, c = 2 * n, c * _C2 | np.uint64(1)
+        x = x[:-n] * np.uint64(c) + mixed(x[n:]) if len(x) > n else x[:0]
+        n, c = 2 * n, c * int(_C2) & (1 << 64) - 1 | 1
     return mixed(x)
 
 
+def byte_grams(data: bytes, size: int) -> np.ndarray:
+    """grams() of bytes; runs of 8 are read as one number."""
+    if size % 8 or len(data) < size:
+        return grams(mixed(np.frombuffer(data, np.uint8).astype(np.uint64)), size)
+    eights = np.empty(len(data) - 7, "<u8")
+    for k in range(min(8, len(eights))):
+        part = eights[k::8]
+        part[:] = np.frombuffer(data, "<u8", len(part), k)
+    eights = eights.view(np.uint64)
+    n = len(data) - size + 1
+    out = eights[:n] * _C1
+    for k in range(8, size, 8):
+        out ^= out >> np.uint64(32)
+        out *= _C2
+        out += eights[k : k + n]
+    return mixed(out)
+
+
 def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
     n = 1
     while 2 * n <= size:
@@ -70,16 +95,14 @@ class Units:
             sizes = np.array([len(s) for s in split])
             length = np.fromiter(map(len, words), np.int64, len(words))
             begin = np.cumsum(length + 1) - length - 1
-            values = self._hash(words)
         else:
             data = b"".join(t for _, _, t in docs)
             sizes = np.array([len(t) for _, _, t in docs])
             begin, length = np.arange(len(data)), None
-            values = mixed(np.frombuffer(data, np.uint8).astype(np.uint64))
-        n = len(values)
+        n = len(begin)
         if n < self.window:
             return data, *[np.zeros(0, np.int64)] * 7
-        order = grams(values, self.gram)
+        order = grams(self._hash(words), self.gram) if self.words else byte_grams(data, self.gram)
         bits = np.uint64(max(1, int(n).bit_length()))
         low = (np.uint64(1) << bits) - np.uint64(1)
         packed = (order & ~low) | np.arange(len(order), dtype=np.uint64)
@@ -135,17 +158,117 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _blocks(units: Units, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Texts (doc_id, place, part) in blocks of bounded size."""
+    block, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for piece in units.pieces(NO_ID if i is None else i, t or b""):
+                    block.append(piece)
+                    size += len(piece[2])
+                    if size >= units.block:
+                        yield block
+                        block, size = [], 0
+    if block:
+        yield block
+
+
+def _name(block: list[tuple[int, int, bytes]]) -> str:
+    h = xxhash.xxh3_128()
+    for i, place, t in block:
+        h.update(f"{i} {place} {len(t)} ".encode())
+        h.update(t)
+    return h.hexdigest()
+
+
+def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, indexes in order) of the shards that occur."""
+    order = np.argsort(shard, kind="stable")
+    edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(shard[order[a]]), order[a:b]
+
+
+def _recurring(docs: DataFrame, units: Units, shards: int, folder: str) -> None:
+    """Write, for each block, which of its segments have a minimizer that recurs."""
+    from pyarrow import fs
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(units, batches):
+            _, key, ids, *_ = units.segments(block)
+            u = key.view(np.uint64)
+            names, keys = [], []
+            for shard, some in _groups((u % np.uint64(shards)).astype(np.int64)):
+                names.append(shard)
+                keys.append((u[some] // np.uint64(shards) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([_name(block)] * len(names)), pa.array(keys, pa.binary())], ["shard", "block", "keys"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        lists = []
+        for raw in t.column("keys").to_pylist():
+            wide = np.zeros((len(raw) // 5, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+            lists.append(wide.view("<u8").ravel())
+        # a key recurs if it comes more than once, from one block or several
+        _, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        bits = np.split(count[inverse] > 1, np.cumsum([len(x) for x in lists])[:-1])
+        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
+
+    def keep(t: pa.Table) -> pa.Table:
+        store, root = fs.FileSystem.from_uri(folder)
+        rows = {s: b for s, b in zip(t.column("shard").to_pylist(), t.column("bits").to_pylist())}  # blocks of equal texts have equal bits
+        name = t.column("block")[0].as_py()
+        part = f"{root}/.{name}-{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as f:
+            for s in sorted(rows):
+                f.write(np.array([s, len(rows[s])], "<u4").tobytes() + rows[s])
+        store.move(part, f"{root}/{name}")
+        return pa.table({"n": pa.array([len(rows)], pa.int64())})
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    asked = rows.mapInArrow(ask, "shard int, block string, keys binary")
+    answered = asked.groupBy("shard").applyInArrow(answer, "block string, shard int, bits binary")
+    answered.groupBy("block").applyInArrow(keep, "n bigint").agg(F.sum("n")).collect()
+
+
+def _answers(folder: str, block: list) -> dict[int, bytes] | None:
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    path = f"{root}/{_name(block)}"
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with store.open_input_stream(path) as f:
+        raw = f.read()
+    out, at = {}, 0
+    while at < len(raw):
+        s, n = np.frombuffer(raw, "<u4", 2, at).tolist()
+        out[s] = raw[at + 8 : at + 8 + n]
+        at += 8 + n
+    return out
+
+
 def spread(docs: DataFrame, units: Units, shards: int) -> DataFrame:
-    """(shard, blob) of docs (doc_id, text)."""
+    """(shard, blob) of docs (doc_id, text): segments whose minimizer recurs."""
+    from pyarrow import fs
+
+    folder = f"{shared_dir(docs.sparkSession)}/recurring-{uuid.uuid4().hex}"
+    folder = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    _recurring(docs, units, shards, folder)
 
     def emit(block: list[tuple[int, int, bytes]], press) -> pa.RecordBatch:
         data, key, ids, where, count, begin, stop, gram = units.segments(block)
-        shard = (key.view(np.uint64) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+        found = _answers(folder, block)
         names, blobs = [], []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            some = order[a:b]
+        for shard, some in _groups((key.view(np.uint64) % np.uint64(shards)).astype(np.int64)):
+            if found is not None:
+                some = some[np.unpackbits(np.frombuffer(found[shard], np.uint8), count=len(some)).astype(bool)]
+            if not len(some):
+                continue
             texts = [data[x:y] for x, y in zip(begin[some].tolist(), stop[some].tolist())]
             seen: dict[bytes, int] = {}
             which = [seen.setdefault(t, len(seen)) for t in texts]
@@ -156,23 +279,12 @@ def spread(docs: DataFrame, units: Units, shards: int) -> DataFrame:
                 (gram[0][one] - begin[one]).astype("<u4"), (gram[1][one] - gram[0][one]).astype("<u4"),
                 np.frombuffer(b"".join(seen), np.uint8),
             )))
-            names.append(int(shard[some[0]]))
+            names.append(shard)
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        block, size = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for piece in units.pieces(NO_ID if i is None else i, t or b""):
-                        block.append(piece)
-                        size += len(piece[2])
-                        if size >= units.block:
-                            yield emit(block, press)
-                            block, size = [], 0
-        if block:
+        press = zstandard.ZstdCompressor(level=3)
+        for block in _blocks(units, batches):
             yield emit(block, press)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "shard int, blob binary")
