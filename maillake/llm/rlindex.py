@@ -21,12 +21,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from maillake.llm.common import table
-from maillake.llm.windows import Shard, Units, by_shard, finish, mask, runs, shards_for, spread
+from maillake.llm.windows import Shard, Units, by_shard, finish, mask, mixed, runs, shards_for, spread
 
 WINDOW, GRAM, BLOCK, SHARD = 50, 16, 2 << 20, 3 << 20
 _PACK = 7  # symbols of 9 bits in one key
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks from 0 of keys."""
+    order = np.argsort(key)
+    seen = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], seen[1:] != seen[:-1]]))
+    return out
+
+
 class RunIndex:
     """Run-length Burrows-Wheeler index of texts; docs gives the id each text stands for."""
 
@@ -45,24 +54,36 @@ class RunIndex:
             shifted[self.left < k] = 0
             key = key << 9 | shifted
         self.key = key
-        rank, depth = np.unique(key, return_inverse=True)[1], _PACK
+        rank, depth = _dense(key), _PACK
         longest = int(size.max())
-        at_half = (key >> 9 * (_PACK - window), window) if window < _PACK else None
-        while depth < max(longest, window):
-            if 2 * depth > window and at_half is None:
-                at_half = (rank, depth)
-            tail = np.zeros(n, np.int64)
-            tail[: n - depth] = rank[depth:] + 1
-            tail[self.left < depth] = 0
-            rank, depth = np.unique(rank * np.int64(n + 2) + tail, return_inverse=True)[1], 2 * depth
-        order = np.argsort(rank, kind="stable")
-        rank, depth = at_half or (rank, depth)
-        # classes: neighbours in order that share `window` bytes; two overlapping halves tell
+        part = (key >> 9 * (_PACK - window), window) if window < _PACK else (rank, depth)
+        order = None
+        while order is None:
+            # three ranks make the next key where they fit, else two
+            ways = 3 if n + 1 < 1 << 21 else 2
+            wide = np.zeros(n, np.int64)
+            for k in range(ways):
+                at = np.zeros(n, np.int64)
+                if k * depth < n:
+                    at[: n - k * depth] = rank[k * depth :] + 1
+                at[self.left < k * depth] = 0
+                wide = wide * np.int64(n + 1) + at
+            if ways * depth >= max(longest, window):  # the last key tells all; equal suffixes go by place
+                order = np.argsort(wide, kind="stable")
+                continue
+            rank, depth = _dense(wide), ways * depth
+            if depth <= window:
+                part = (rank, depth)
+        rank, depth = part
+        # classes: neighbours in order that share `window` bytes; overlapping parts tell
         full = self.left[order] >= window
-        shift = np.where(full, window - min(depth, window), 0)
-        same = full[1:] & full[:-1] & (rank[order[1:]] == rank[order[:-1]]) & (rank[order[1:] + shift[1:]] == rank[order[:-1] + shift[:-1]])
-        self.class_start = np.flatnonzero(np.concatenate([[True], ~same]))
-        self.class_doc = np.minimum.reduceat(np.repeat(docs, size)[order], self.class_start)
+        same = full[1:] & full[:-1]
+        for shift in {*range(0, window - depth, depth), max(0, window - depth)}:
+            seen = rank[np.where(full, order + shift, 0)]
+            same &= seen[1:] == seen[:-1]
+        class_start = np.flatnonzero(np.concatenate([[True], ~same]))
+        least = np.minimum.reduceat(np.repeat(docs, size)[order], class_start)
+        self.row_doc = np.repeat(least, np.diff(np.append(class_start, n)))  # by row, as a shard is small
         # runs of the transform
         before = self.symbols[order - 1]
         self.run_start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
@@ -73,6 +94,7 @@ class RunIndex:
         counts = np.bincount(self.run_char, length, 257).astype(np.int64)
         total = np.cumsum(counts) - counts
         seen = np.cumsum(length[by_char]) - length[by_char]
+        self.run_of = np.repeat(np.arange(len(length), dtype=np.int32), length)
         self.lf = np.empty(len(by_char), np.int64)  # row that a run's first row maps to
         self.lf[by_char] = seen  # as the characters before are counted too, this is the place among all rows
         assert (self.lf >= total[self.run_char]).all()
@@ -110,7 +132,7 @@ class RunIndex:
             live = lanes[: np.searchsorted(ascending, -step, "left")]
             where = first[live] + size[live] - 1 - step
             c = flat[where]
-            run = np.searchsorted(self.run_start, row[live], "right") - 1
+            run = self.run_of[row[live]].astype(np.int64)
             offset = row[live] - self.run_start[run]
             here = at[live]
             miss = np.flatnonzero(self.run_char[run] != c)
@@ -132,10 +154,33 @@ class RunIndex:
             n[live] = np.minimum(n[live] + 1, self.window)
             lengths[where] = n[live]
             whole = n[live] >= self.window
-            docs[where[whole]] = self.class_doc[np.searchsorted(self.class_start, row[live[whole]], "right") - 1]
+            docs[where[whole]] = self.row_doc[row[live[whole]]]
         return first, lengths, docs
 
 
+def _shared(texts: list[bytes], least: np.ndarray, most: np.ndarray, window: int) -> np.ndarray:
+    """Which texts may have a window that two docs have: a test of window hashes, which spares the index the rest."""
+    size = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    n = len(data)
+    power = np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64)
+    inverse = np.full(n + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+    power[0] = inverse[0] = 1
+    power, inverse = np.cumprod(power), np.cumprod(inverse)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(np.arange(256, dtype=np.uint64) + np.uint64(7))[data] * power[:n])])
+    count = size - window + 1
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(np.cumsum(size) - size, count) + inner
+    h = mixed((total[at + window] - total[at]) * inverse[at])
+    order = np.argsort(h)
+    start = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+    of = np.repeat(np.arange(len(texts)), count)[order]
+    two = np.minimum.reduceat(least[of], start) < np.maximum.reduceat(most[of], start)
+    out = np.zeros(len(texts), bool)
+    out[of[np.repeat(two, np.diff(np.append(start, len(h))))]] = True
+    return out
+
+
 def locate(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marks (doc, start, stop in bytes) of windows that a smaller doc_id has too."""
     nothing = (np.zeros(0, np.int64),) * 3
@@ -148,9 +193,14 @@ def locate(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     chosen = np.flatnonzero((least < most)[shard.gram])
     if not len(chosen):
         return nothing
-    own = np.full(len(shard.texts), np.iinfo(np.int64).max)
+    own, top = np.full(len(shard.texts), np.iinfo(np.int64).max), np.full(len(shard.texts), -1 << 62)
     np.minimum.at(own, shard.which, shard.doc)
+    np.maximum.at(top, shard.which, shard.doc)
     texts = [shard.texts[i] for i in chosen.tolist()]
+    some = _shared(texts, own[chosen], top[chosen], window)
+    chosen, texts = chosen[some], [t for t, s in zip(texts, some.tolist()) if s]
+    if not texts:
+        return nothing
     first, _, doc = RunIndex(texts, own[chosen], window).matching_statistics(texts)
     count = shard.count[chosen]
     slot = np.full(len(shard.texts), -1)
@@ -192,3 +242,16 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, b, n, unnest(range(1, n + 1)) AS k FROM d),
+s AS (SELECT doc_id, k, CASE WHEN k + 49 <= n THEN md5(b[k:k + 49]) END AS x, b[k:k] AS c FROM p),
+f AS (SELECT *, CASE WHEN x IS NOT NULL AND min(doc_id) OVER (PARTITION BY x) < doc_id THEN 1 ELSE 0 END AS starts FROM s),
+m AS (SELECT doc_id, k, c, max(starts) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY k), 0) = 0 THEN 1 ELSE 0 END AS opens FROM m),
+a AS (SELECT doc_id, sum(gone) AS g, sum(opens) AS o, string_agg(hex(c), '' ORDER BY k) FILTER (gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(g, 0)::BIGINT AS n_removed, coalesce(o, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
