@@ -3,38 +3,43 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import re
 import sys
+from dataclasses import fields
 from datetime import date
 from pathlib import Path
 
+from maillake.compress import EXTENSION, compress_mbox
 from maillake.options import CompressionError, ConvertOptions, ReadError, cores, zone
 
-_FACTOR = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20}
+_POWER = {"": 0, "b": 0, "k": 10, "m": 20}
 
 
-def parse_size(text: str) -> int:
+def size_of(text: str) -> int:
     """Bytes of 5KB, 5k, 1.5 MB or 0; units are binary."""
-    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*(?:(b)|([km])(?:i?b)?)?\s*", text, re.I)
-    if m is None:
-        raise argparse.ArgumentTypeError(f"{text!r} is no size such as 5KB, 1MB or 0")
-    return int(float(m[1]) * _FACTOR[(m[3] or "").lower()])
+    m = re.fullmatch(r"([\d.]+?)\s*(?:(b)|([km])(?:i?b)?)?", text.strip(), re.I)
+    try:
+        return int(float(m[1]) * (1 << _POWER[(m[3] or "").lower()]))
+    except (TypeError, ValueError):
+        raise argparse.ArgumentTypeError(f"{text!r} is no size such as 5KB, 1MB or 0") from None
 
 
-def parse_day(text: str) -> date:
-    try:
+def day_of(text: str) -> date:
+    """A day as YYYY-MM-DD."""
+    with contextlib.suppress(ValueError):
         return date.fromisoformat(text)
-    except ValueError:
-        raise argparse.ArgumentTypeError(f"{text!r} is no day such as 2024-01-31") from None
+    raise argparse.ArgumentTypeError(f"{text!r} is no day such as 2024-01-31")
 
 
-def parse_labels(text: str) -> frozenset[str]:
+def labels_of(text: str) -> frozenset:
+    """Labels between commas."""
     return frozenset(filter(None, map(str.strip, text.split(","))))
 
 
-def human_bytes(n: float) -> str:
-    """Decimal units."""
+def readable(n: float) -> str:
+    """Bytes in decimal units."""
     if abs(n) < 1000:
         return f"{n:,.0f} B"
     for unit in ("KB", "MB"):
@@ -44,31 +49,45 @@ def human_bytes(n: float) -> str:
     return f"{n / 1000:,.1f} GB"
 
 
+#: Options that take a value: how it is read, what it is without, what it does.
+VALUES = {
+    "since": (day_of, None, "first day wanted"),
+    "until": (day_of, None, "last day wanted"),
+    "skip-labels": (labels_of, ConvertOptions.skip_labels, "labels to leave out, comma-separated"),
+    "limit": (int, None, "read this many messages"),
+    "tz": (str, "sender", "zone of file names and day ranges: sender, utc, local or a name"),
+    "min-inline-image": (size_of, ConvertOptions.min_inline_image, "leave out smaller inline images"),
+    "workers": (int, cores(), "cores of a local Spark master"),
+    "compress-level": (int, 5, "1 to 10"),
+}
+SWITCHES = {
+    "strip-quotes": "leave out quoted replies",
+    "keep-from-escapes": "leave >From lines as they are",
+    "dry-run": "count, write nothing",
+    "delete-source": "delete the mailbox once its compressed copy is verified",
+}
+#: Switches of which one at most may be given.
+EITHER = (
+    {"incremental": "only messages that aren't in the output yet", "prune": "delete files of earlier runs that this one doesn't make"},
+    {"quiet": "say nothing but errors", "verbose": "name each failed message", "json": "statistics as JSON"},
+)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("maillake", description="Turn a mailbox into Markdown files and queryable tables, with Spark.")
-    p.add_argument("mbox", type=Path, help="mailbox, plain or compressed with zstd or gzip")
-    p.add_argument("outdir", type=Path, nargs="?", help="where the files go; a dry run needs none")
-    p.add_argument("--version", action="version", version="maillake 0.1")
-    p.add_argument("--since", type=parse_day, help="first day wanted")
-    p.add_argument("--until", type=parse_day, help="last day wanted")
-    p.add_argument("--skip-labels", type=parse_labels, default=ConvertOptions().skip_labels, help="labels to leave out, comma-separated")
-    p.add_argument("--limit", type=int, help="read this many messages")
-    p.add_argument("--tz", default="sender", help="zone of file names and day ranges: sender, utc, local or a name")
-    p.add_argument("--min-inline-image", type=parse_size, default=ConvertOptions().min_inline_image, help="leave out smaller inline images")
-    p.add_argument("--strip-quotes", action="store_true", help="leave out quoted replies")
-    p.add_argument("--keep-from-escapes", action="store_true", help="leave >From lines as they are")
-    p.add_argument("--workers", type=int, default=cores(), help="cores of a local Spark master")
-    p.add_argument("--dry-run", action="store_true", help="count, write nothing")
-    again = p.add_mutually_exclusive_group()
-    again.add_argument("--incremental", action="store_true", help="only messages that aren't in the output yet")
-    again.add_argument("--prune", action="store_true", help="delete files of earlier runs that this one doesn't make")
-    p.add_argument("--compress-source", choices=["zstd", "gzip"], help="compress the mailbox afterwards, verified")
-    p.add_argument("--compress-level", type=int, default=5, help="1 to 10")
-    p.add_argument("--delete-source", action="store_true", help="delete the mailbox once its compressed copy is verified")
-    out = p.add_mutually_exclusive_group()
-    out.add_argument("-q", "--quiet", action="store_true")
-    out.add_argument("-v", "--verbose", action="store_true", help="name each failed message")
-    out.add_argument("--json", action="store_true", help="statistics as JSON")
+    p.add_argument("mbox", help="mailbox, plain or compressed with zstd or gzip", type=Path)
+    p.add_argument("outdir", help="where the files go; a dry run needs none", nargs="?", type=Path)
+    p.add_argument("--version", version="maillake 0.1", action="version")
+    p.add_argument("--compress-source", help="compress the mailbox afterwards, verified", choices=sorted(EXTENSION))
+    for name, (kind, default, text) in VALUES.items():
+        p.add_argument(f"--{name}", help=text, default=default, type=kind)
+    for name, text in SWITCHES.items():
+        p.add_argument(f"--{name}", help=text, action="store_true")
+    for names in EITHER:
+        group = p.add_mutually_exclusive_group()
+        for name, text in names.items():
+            short = [f"-{name[0]}"] if name in ("quiet", "verbose") else []
+            group.add_argument(*short, f"--{name}", help=text, action="store_true")
     return p
 
 
@@ -86,19 +105,20 @@ def _refusals(a) -> str | None:
 
 
 def summary(s, outdir) -> str:
-    rows = [("Messages", f"{s.ok:,} {'to convert' if s.dry_run else 'converted'} ({s.body_plain:,} plain, {s.body_html:,} HTML)")]
+    rows = [("Messages", f"{s.ok:,} {'to convert' if s.dry_run else 'converted'} ({s.body_html:,} HTML, {s.body_plain:,} plain)")]
     for n, text in ((s.skipped, "skipped by label"), (s.out_of_range, "outside the days asked for"), (s.already_converted, "in the output before"), (s.duplicate_message_ids_skipped, "further copies, labels merged"), (s.labels_updated, "with changed labels"), (s.errors, "failed"), (s.path_collisions, "that share a path with another")):
         if n:
             rows.append(("", f"{n:,} {text}"))
     if s.attachment_refs:
         saved = s.attachment_bytes_referenced - s.attachment_bytes_stored
         share = 100 * saved / s.attachment_bytes_referenced if s.attachment_bytes_referenced else 0
-        rows.append(("Attachments", f"{s.unique_attachments:,} files, {human_bytes(s.attachment_bytes_stored)}, of {s.attachment_refs:,} references; {human_bytes(saved)} ({share:.0f}%) saved"))
-    rows.append(("Markdown", human_bytes(s.markdown_bytes)))
+        rows.append(("Attachments", f"{s.unique_attachments:,} files, {readable(s.attachment_bytes_stored)}, of {s.attachment_refs:,} references; {readable(saved)} ({share:.0f}%) saved"))
+    rows.append(("Markdown", readable(s.markdown_bytes)))
     if s.pruned or s.stale_files:
         rows.append(("Earlier runs", f"{s.pruned:,} files pruned" if s.pruned else f"{s.stale_files:,} files are stale; --prune deletes them"))
-    speed = f", {s.processed / s.elapsed_s:,.0f} messages/s" if s.elapsed_s >= 0.1 else ""
-    rows.append(("Time", f"{s.elapsed_s:,.1f} s{speed}, {human_bytes(s.bytes_total)} read"))
+    took = s.elapsed_s
+    speed = f", {s.processed / took:,.0f} mails a second" if took >= 0.1 else ""
+    rows.append(("Time", f"{took:,.1f} s{speed}, {readable(s.bytes_total)} read"))
     head = "Dry run, nothing written" if s.dry_run else f"Done: {outdir}"
     return "\n".join([head, *(f"  {a:<13}{b}" for a, b in rows)])
 
@@ -121,20 +141,20 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         zone(a.tz)
     except ValueError as e:
         p.error(str(e))
-    from maillake.compress import compress_mbox
     from maillake.plans.convert import convert
     from maillake.sources.mbox import compression_of
 
     if a.compress_source and a.mbox.is_file() and compression_of(a.mbox):
         p.error(f"{a.mbox} is compressed as it is")
-    options = ConvertOptions(a.skip_labels, a.min_inline_image, since=a.since, until=a.until, tz=a.tz, strip_quotes=a.strip_quotes, unescape_from=not a.keep_from_escapes, incremental=a.incremental, prune=a.prune, dry_run=a.dry_run, workers=a.workers, limit=a.limit)
+    given = vars(a)
+    options = ConvertOptions(**{f.name: given[f.name] for f in fields(ConvertOptions) if f.name in given}, unescape_from=not a.keep_from_escapes)
     say = lambda text: print(text, file=sys.stderr)
     failed: list[str] = []
 
     def on_error(path, error):
         failed.append(error)
         if a.verbose:
-            say(f"failed: {path or '(dry run)'}: {error}")
+            say(f"failed: {error} ({path or 'no copy'})")
 
     try:
         stats = convert(spark or session(a.workers), a.mbox, a.outdir, options, on_error=on_error)
@@ -144,20 +164,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except KeyboardInterrupt:
         say("interrupted" if a.dry_run else f"interrupted; {a.outdir} may be incomplete")
         return 130
-    if a.json:
-        print(json.dumps(stats.as_dict(), indent=1))
-    elif not a.quiet:
-        print(summary(stats, a.outdir))
+    if not a.quiet:
+        text = json.dumps(stats.as_dict(), indent=2) if a.json else summary(stats, a.outdir)
+        print(text)
     if failed and not (a.verbose or a.json):
         say(f"{len(failed):,} message(s) failed; --verbose names them")
     if a.compress_source:
         try:
-            r = compress_mbox(a.mbox, algorithm=a.compress_source, level=a.compress_level, delete_source=a.delete_source)
+            r = compress_mbox(a.mbox, level=a.compress_level, delete_source=a.delete_source, algorithm=a.compress_source)
         except CompressionError as e:
             say(f"error: {e}")
             return 1
         if not (a.quiet or a.json):
-            say(f"{r.dest.name}: {human_bytes(r.source_bytes)} in {human_bytes(r.compressed_bytes)} ({r.ratio:.2f}x), verified" + ("; source deleted" if r.source_deleted else ""))
+            say(f"{r.dest.name}: {readable(r.source_bytes)} in {readable(r.compressed_bytes)} ({r.ratio:.2f}x), verified" + ("; source deleted" if r.source_deleted else ""))
     return 0
 
 

@@ -12,24 +12,30 @@ from pathlib import Path
 from maillake.options import CompressionError
 from maillake.sources.mbox import compression_of, open_plain
 
-EXTENSION = {"zstd": ".zst", "gzip": ".gz"}
+EXTENSION = {"gzip": ".gz", "zstd": ".zst"}
 _STEP = 1 << 20
+AnyPath = str | Path
+#: Hears of (phase, bytes done, bytes in all).
+Progress = Callable[[str, int, int], None]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, kw_only=True)
 class CompressResult:
-    source: Path
-    dest: Path
+    """A verified copy: what it was made of, how, and its size."""
+
     algorithm: str
     level: int
+    source: Path
     source_bytes: int
+    source_deleted: bool = False
+    dest: Path
     compressed_bytes: int
     sha256: str
-    source_deleted: bool = False
 
     @property
     def ratio(self) -> float:
-        return self.source_bytes / self.compressed_bytes if self.compressed_bytes else 0.0
+        small = self.compressed_bytes
+        return self.source_bytes / small if small else 0.0
 
 
 def _writer(path: Path, algorithm: str, level: int):
@@ -41,8 +47,8 @@ def _writer(path: Path, algorithm: str, level: int):
 
 
 def compress_mbox(
-    source: str | Path, dest: str | Path | None = None, *, algorithm: str = "zstd", level: int = 5, delete_source: bool = False,
-    overwrite: bool = False, on_progress: Callable[[str, int, int], None] | None = None,
+    source: AnyPath, dest: AnyPath | None = None, *, level: int = 5, algorithm: str = "zstd", overwrite: bool = False,
+    delete_source: bool = False, on_progress: Progress | None = None,
 ) -> CompressResult:
     """Compress at level 1 to 10, read all of it back and compare; only then may the source be deleted."""
     source = Path(source)
@@ -79,7 +85,10 @@ def compress_mbox(
             raise CompressionError(f"the copy of {source} differs from it; the source is as it was")
         part.replace(target)
     finally:
-        part.unlink(missing_ok=True)
+        if part.exists():
+            part.unlink()
     if delete_source:
         source.unlink()
-    return CompressResult(source, target, algorithm, level, total, size, want.hexdigest(), delete_source)
+    return CompressResult(
+        algorithm=algorithm, level=level, source=source, source_bytes=total, source_deleted=delete_source, dest=target, compressed_bytes=size, sha256=want.hexdigest()
+    )

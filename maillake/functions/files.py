@@ -14,11 +14,15 @@ from maillake.functions.mediatypes import EXTENSION, KNOWN
 from maillake.functions.text import slugify
 
 #: First bytes that tell a kind, in lower case.
-MAGIC = ((b"\x89png", ".png"), (b"\xff\xd8\xff", ".jpg"), (b"gif8", ".gif"), (b"bm", ".bmp"), (b"%pdf", ".pdf"), (b"pk\x03\x04", ".zip"), (b"<!doctype html", ".html"), (b"<html", ".html"))
-_SHORT = r"\.[a-z][a-z0-9]{0,5}"
+_KINDS = {".pdf": [b"%pdf"], ".html": [b"<html", b"<!doctype html"], ".zip": [b"pk\3\4"], ".jpg": [b"\xff\xd8\xff"], ".png": [b"\x89png"], ".gif": [b"gif8"], ".bmp": [b"bm"]}
+MAGIC = [(m, e) for e, all_ in _KINDS.items() for m in all_]
+_SHORT = r"\.[a-z][0-9a-z]{0,5}"
 _HEX = r"\.(?=[0-9a-f]{4,}$)(?=[a-f]*[0-9])[0-9a-f]+"
 
 
+_UNSAFE = {**dict.fromkeys(range(32), "_"), ord("/"): "_", ord("\\"): "_"}
+
+
 def plausible_suffix(suffix: str) -> bool:
     """A suffix to trust: a known one, or a short word that doesn't look like part of a hash."""
     return suffix in KNOWN or bool(re.fullmatch(_SHORT, suffix) and not re.fullmatch(_HEX, suffix))
@@ -37,18 +41,18 @@ def ext_for(name: str, media_type: str, data: bytes = b"") -> str:
 
 
 def safe_name(name: str | None) -> str:
-    return re.sub(r"[\x00-\x1f/\\]", "_", name or "").strip() or "attachment"
+    return (name or "").translate(_UNSAFE).strip() or "attachment"
 
 
-def address(data: bytes, ext: str) -> tuple[str, str]:
+def address(content: bytes, ext: str) -> tuple[str, str]:
     """(hash, path) of content in the attachment store."""
-    h = hashlib.sha256(data).hexdigest()[:20]
+    h = hashlib.new("sha256", content).hexdigest()[:20]
     return h, f"attachments/{h[:2]}/{h}{ext}"
 
 
 def relpath(when: datetime | None, subject: str, key: str) -> str:
     day, clock, folder = ("undated", "0000", "undated") if when is None else (f"{when:%Y-%m-%d}", f"{when:%H%M}", f"{when:%Y/%m}")
-    return f"{folder}/{day}-{clock}-{slugify(subject)}-{key[:4]}.md"
+    return "-".join([f"{folder}/{day}", clock, slugify(subject), key[:4] + ".md"])
 
 
 # The same as columns.
@@ -80,7 +84,7 @@ def ext_col(name: Column, media_type: Column, data: Column) -> Column:
 
 
 def safe_name_col(name: Column) -> Column:
-    s = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"[\x00-\x1f/\\]", "_"))
+    s = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"[/\\\x00-\x1f]", "_"))
     return F.when(s == "", "attachment").otherwise(s)
 
 

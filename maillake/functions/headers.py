@@ -21,7 +21,7 @@ def header_block(text: Column) -> Column:
 
 def message_id(head: Column) -> Column:
     """<id> of the first Message-ID header, or empty."""
-    return F.regexp_extract(head, r"(?imd)^message-id:\s*(<[^>]+>)", 1)
+    return F.regexp_extract(head, r"(?imd)^message-id:\s*(<[^>]{1,}>)", 1)
 
 
 def message_key(head: Column) -> Column:
@@ -32,7 +32,7 @@ def message_key(head: Column) -> Column:
 
 def labels_value(head: Column) -> Column:
     """The first labels header with its folds, as text; null without one."""
-    pattern = r"(?imd)^x-gmail-labels:[ \t]*([^\r\n]*(?:\r?\n[ \t][^\r\n]*)*)"
+    pattern = r"(?imd)^x-gmail-labels:[ \t]*([^\n]*(?:\n[\t ][^\n]*)*)"
     found = F.regexp_extract(head, pattern, 1)
     return F.when(head.rlike(pattern), F.decode(F.encode(found, "ISO-8859-1"), "UTF-8"))
 

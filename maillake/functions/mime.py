@@ -18,7 +18,7 @@ from maillake.functions.text import html_to_md, squeeze_lines, strip_quotes
 from maillake.options import ConvertOptions
 from maillake.schemas import PARSED
 
-_MID = re.compile(rb"^message-id:\s*(<[^>]+>)", re.I | re.M)
+_MID = re.compile(rb"^message-id:\s*(<[^>]{1,}>)", re.M | re.I)
 
 
 def clean(s: str) -> str:
@@ -37,6 +37,11 @@ def key_bytes(raw: bytes) -> bytes:
     return found[1] if found else hashlib.sha1(head).digest()
 
 
+def _flat(value: str) -> str:
+    """White space as single spaces, the ends kept."""
+    return re.sub(r"\s\s*", " ", value)
+
+
 def decode_labels(value: str) -> list[str]:
     """Labels of a header value that may hold encoded words; unknown charsets are read leniently."""
     if "=?" in value:
@@ -49,7 +54,14 @@ def decode_labels(value: str) -> list[str]:
                     part = part.decode("utf-8", "replace")
             words.append(part)
         value = "".join(words)
-    return list(filter(None, map(str.strip, re.sub(r"\s+", " ", value).split(","))))
+    return list(filter(None, map(str.strip, _flat(value).split(","))))
+
+
+def _codec(name: str | None) -> str:
+    try:
+        return codecs.lookup(name or "utf-8").name
+    except LookupError:
+        return "utf-8"
 
 
 def text_of(part: Message) -> str:
@@ -61,12 +73,7 @@ def text_of(part: Message) -> str:
     if isinstance(content, str):
         return content
     data = part.get_payload(decode=True)
-    charset = part.get_content_charset() or "utf-8"
-    try:
-        codecs.lookup(charset)
-    except LookupError:
-        charset = "utf-8"
-    return (data if isinstance(data, bytes) else b"").decode(charset, "replace")
+    return (data if isinstance(data, bytes) else b"").decode(_codec(part.get_content_charset()), "replace")
 
 
 def body_of(mail: EmailMessage, most: int) -> tuple[str, str | None, Message | None]:
@@ -103,7 +110,7 @@ def attachments_of(mail: EmailMessage, body: Message | None, smallest: int) -> I
             if not isinstance(inner, Message):
                 continue
             data, ext = inner.as_bytes(policy=policy.compat32), ".eml"
-            title = str(inner["Subject"] or "").strip() or "forwarded-message"
+            title = (str(inner["Subject"]).strip() if inner["Subject"] else "") or "forwarded-message"
             label = safe_name(str(name)) if name else safe_name(title) + ext
         else:
             data = p.get_payload(decode=True)
@@ -127,7 +134,7 @@ def sender_of(mail: EmailMessage) -> str:
     text = "" if value is None else str(value)
     if value is not None and "@" not in text and getattr(value, "defects", ()):
         written = next((str(v) for k, v in mail.raw_items() if k.lower() == "from"), text)
-        return re.sub(r"\s*\r?\n\s*", " ", written).strip()
+        return " ".join(x.strip() for x in written.split("\n")).strip()
     return text
 
 
@@ -141,7 +148,7 @@ def date_of(mail: EmailMessage) -> datetime | None:
 def parse(raw: bytes, options: ConvertOptions) -> tuple[str, dict | None]:
     """(status, message): ok, label or date."""
     mail = message_from_bytes(raw, policy=policy.default)
-    labels = [clean(x) for x in filter(None, map(str.strip, re.sub(r"\s+", " ", str(mail["X-Gmail-Labels"] or "")).split(",")))]
+    labels = [clean(x) for x in filter(None, map(str.strip, _flat(str(mail["X-Gmail-Labels"] or "")).split(",")))]
     if not options.skip_labels.isdisjoint(labels):
         return "label", None
     when = date_of(mail)
@@ -193,7 +200,7 @@ def parse_messages(messages: DataFrame, options: ConvertOptions = ConvertOptions
                 mid = key_bytes(raw)
                 row = {
                     "file": r["file"], "ordinal": r["ordinal"], "key": hashlib.sha1(mid).hexdigest(), "error": None,
-                    "message_id": mid.decode("utf-8", "replace") if mid[:1] == b"<" else "",
+                    "message_id": clean(mid.decode(errors="replace")) if mid[:1] == b"<" else "",
                 }
                 try:
                     row["status"], row["msg"] = parse(raw, options)

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 NBSP = "\N{NO-BREAK SPACE}"
-_DROPPED = {"title", "style", "script", "noscript", "template", "meta", "link", "base"}
+_DROPPED = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "nav", "aside", "form", "fieldset", "center", "address", "figure", "figcaption", "dl", "dd", "dt", "body", "html", "head", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "details", "summary"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -119,7 +119,7 @@ def is_data_table(table: Node) -> bool:
         return True
     rows = [[c for c in r.walk() if c.tag in ("td", "th")] for r in _rows(table)]
     small = lambda c: len("".join(x.strip() for x in c.text().split("\n"))) <= CELL
-    flat = lambda c: not any(n.tag in ("p", "div", "br", "ul", "ol") for n in c.walk())
+    flat = lambda c: not any(n.tag in ("br", "div", "ol", "p", "ul") for n in c.walk())
     return len(rows) > 1 and all(len(r) > 1 and all(small(c) and flat(c) for c in r) for r in rows)
 
 
@@ -230,7 +230,7 @@ class _Writer:
                 lead = len(x) - len(x.lstrip(" "))
                 x = x if lead > 1 else x.lstrip(" ")
             out.append(x)
-        return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
+        return squeeze_lines("\n".join(out), "\n")
 
 
 def html_to_md(html: str, most: int = 2_000_000) -> str:
@@ -257,9 +257,9 @@ def tidy_whitespace(md: str) -> str:
     return "\n".join(out)
 
 
-def squeeze_lines(text: str) -> str:
+def squeeze_lines(text: str, ends: str | None = None) -> str:
     """At most one empty line in a row, none at the ends."""
-    return re.sub("\n\n\n+", "\n\n", text).strip()
+    return re.sub("\n\n\n+", "\n\n", text).strip(ends)
 
 
 _SAYS = re.compile(r"\s*(?:On\b.*|.*\b(?:wrote|schrieb)|.*\ba écrit)\s*:\s*", re.I)
@@ -288,12 +288,12 @@ def strip_quotes(body: str) -> str:
     return squeeze_lines("\n".join(x for x, g in zip(lines, gone) if not g))
 
 
-_REPLY = re.compile(r"\s*(?:(?:re|fw|fwd|aw|wg)\s*:\s*)+", re.I)
+_REPLY = re.compile(r"\s*(?:(?:aw|fwd|fw|re|wg)\s*:\s*)+", re.I)
 
 
 def slugify(subject: str | None, most: int = 60) -> str:
     """Lower-case ASCII words joined by dashes, reply marks left out."""
     s = subject or ""
     lead = _REPLY.match(s)
-    plain = unicodedata.normalize("NFKD", s[lead.end() :] if lead else s).encode("ascii", "ignore").decode().lower()
+    plain = unicodedata.normalize("NFKD", s[lead.end() :] if lead else s).encode("ascii", errors="ignore").lower().decode()
     return "-".join(re.findall("[a-z0-9]+", plain))[:most].strip("-") or "no-subject"

@@ -26,7 +26,7 @@ def put_lines(path: Path, lines: Iterable[str]) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.parent / f".{path.name}.{uuid.uuid4().hex}.tmp"
     try:
-        with open(part, "w", encoding="utf-8", newline="\n") as f:
+        with open(part, "w", newline="\n", encoding="utf-8") as f:
             f.writelines(f"{x}\n" for x in lines)
         os.replace(part, path)
     finally:

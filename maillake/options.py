@@ -22,20 +22,19 @@ def cores() -> int:
 
 def zone(name: str) -> tzinfo | None:
     """A time zone by name; None stands for the sender's own offset."""
-    if name == "sender":
-        return None
-    if name == "utc":
-        return timezone.utc
-    if name == "local":
-        return datetime.now().astimezone().tzinfo
+    fixed = {"sender": lambda: None, "utc": lambda: timezone.utc, "local": lambda: datetime.now().astimezone().tzinfo}
+    if name in fixed:
+        return fixed[name]()
     try:
         return ZoneInfo(name)
     except Exception:
         raise ValueError(f"{name!r} is no time zone: say sender, utc, local or a name such as Asia/Tokyo") from None
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, order=False)
 class ConvertOptions:
+    """What a conversion takes, leaves and writes."""
+
     skip_labels: frozenset[str] = frozenset({"Spam", "Trash"})
     min_inline_image: int = 5120
     max_html: int = 2_000_000
@@ -57,10 +56,10 @@ class ConvertOptions:
         if not self.workers:
             object.__setattr__(self, "workers", cores())
 
-    def local(self, when: datetime | None) -> datetime | None:
+    def local(self, moment):
         """The moment in the chosen zone; naive moments count as the machine's own."""
         z = zone(self.tz)
-        return when if z is None or when is None else when.astimezone(z)
+        return moment if z is None or moment is None else moment.astimezone(z)
 
     def wants(self, when: datetime | None) -> bool:
         if not (self.since or self.until):

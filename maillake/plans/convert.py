@@ -28,39 +28,48 @@ from maillake.sources.manifest import dumps, previous_outputs, read_manifest
 from maillake.sources.mbox import check, read_mbox
 
 
+ERROR_FIELDS = "key message_id error path".split()
+
+
 @dataclass
 class ConvertStats:
+    """Counts of a run; `processed` leaves out further copies."""
+
     ok: int = 0
+    errors: int = 0
     skipped: int = 0
     out_of_range: int = 0
-    errors: int = 0
-    body_plain: int = 0
+    already_converted: int = 0
+    duplicate_message_ids_skipped: int = 0
+    labels_updated: int = 0
+    path_collisions: int = 0
     body_html: int = 0
+    body_plain: int = 0
     body_none: int = 0
-    attachment_refs: int = 0
-    duplicate_message_ids_skipped: int = 0
+    markdown_bytes: int = 0
     unique_attachments: int = 0
-    attachment_bytes_referenced: int = 0
+    attachment_refs: int = 0
     attachment_bytes_stored: int = 0
-    markdown_bytes: int = 0
-    already_converted: int = 0
-    labels_updated: int = 0
-    stale_files: int = 0
+    attachment_bytes_referenced: int = 0
     pruned: int = 0
-    bytes_read: int = 0
+    stale_files: int = 0
     bytes_total: int = 0
-    elapsed_s: float = 0.0
+    bytes_read: int = 0
     dry_run: bool = False
-    path_collisions: int = 0
+    elapsed_s: float = 0.0
 
     @property
     def processed(self) -> int:
-        return self.ok + self.skipped + self.out_of_range + self.errors + self.already_converted
+        return sum((self.already_converted, self.errors, self.ok, self.out_of_range, self.skipped))
 
     def as_dict(self) -> dict:
         return asdict(self)
 
 
+#: Hears of a failed message's path (None in a dry run) and error; of the counts so far.
+OnError, OnProgress = Callable[[str | None, str], None], Callable[[ConvertStats], None]
+
+
 def with_headers(messages: DataFrame) -> DataFrame:
     """Add key and labels, read from the header block alone."""
     head = H.header_block(H.latin(F.col("raw")))
@@ -84,7 +93,7 @@ def _references(rows: DataFrame) -> DataFrame:
 
 def convert(
     spark: SparkSession, src: str | Path, outdir: str | Path | None, options: ConvertOptions = ConvertOptions(), *,
-    on_progress: Callable[[ConvertStats], None] | None = None, on_error: Callable[[str | None, str], None] | None = None,
+    on_error: OnError | None = None, on_progress: OnProgress | None = None,
 ) -> ConvertStats:
     """Convert the mailbox at src into outdir. Both must be reachable by every executor.
 
@@ -221,7 +230,7 @@ def convert(
         if on_error:
             on_error(e.path, e.error)
     if errors:
-        sinks.put_lines(out / ERRORS_FILE, (dumps({c: e[c] for c in ("key", "message_id", "error", "path")}) for e in errors))
+        sinks.put_lines(out / ERRORS_FILE, (dumps({c: e[c] for c in ERROR_FIELDS}) for e in errors))
     else:
         (out / ERRORS_FILE).unlink(missing_ok=True)
         if (out / "_unparsed").is_dir() and not any((out / "_unparsed").iterdir()):

@@ -282,7 +282,7 @@ def q30_manifest_last_wins(spark, d):
     return M.last_wins(V.read(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-_SLUG = r"""coalesce(nullif(trim(substr(trim(regexp_replace(lower(regexp_replace(strip_accents(regexp_replace({0}, '(?i)^\s*((re|fw|fwd|aw|wg)\s*:\s*)+', '')), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'no-subject')"""
+_SLUG = r"""coalesce(nullif(trim(substr(trim(regexp_replace(lower(regexp_replace(strip_accents(regexp_replace({0}, '(?i)^\s*((aw|fwd|fw|re|wg)\s*:\s*)+', '')), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'no-subject')"""
 
 
 @query(f"SELECT doc_id, {_SLUG.format("split_part(coalesce(text, ''), chr(10), 1)")} AS slug FROM documents")
@@ -342,7 +342,7 @@ def q36_render_markdown(spark, d):
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS body FROM conversations""")
 def q37_strip_quotes(spark, d):
     c = V.read(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    quoted = F.concat("text", F.lit("\n\nOn Monday, Bob <bob@example.org>\nwrote:\n\n> one\n>> two\n\n-----Original Message-----\nFrom: x\ny"))
+    quoted = F.concat("text", F.lit("\n\nOn Monday, Bob <bob@example.org>\nwrote:\n\n> one\n>> two\n\n--- Original Message ---\nFrom: x\ny"))
     return c.select("conv_id", "turn", text_udf("strip_quotes")(quoted).alias("body"))
 
 

@@ -13,7 +13,7 @@ from maillake.schemas import INDEX_FILE, LEDGER_FILE, MANIFEST, MANIFEST_FILE
 
 def _whole_lines(path: Path) -> int:
     """Bytes up to the last line end; a torn last line is no row."""
-    with open(path, "rb") as f:
+    with path.open("rb") as f:
         at = f.seek(0, 2)
         while at:
             step = min(at, 1 << 16)
@@ -51,7 +51,7 @@ def read_ledger(spark: SparkSession, outdir: str | Path) -> DataFrame:
         return spark.createDataFrame([], "path string")
 
     def run(_):  # Spark's own sources pass over names that begin with a dot
-        with open(path, encoding="utf-8") as f:
+        with path.open(encoding="utf-8") as f:
             while lines := f.readlines(1 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\n") for x in lines], pa.string())], ["path"])
 

@@ -21,9 +21,9 @@ from maillake.schemas import MESSAGES
 
 SPLIT, CHUNK = 64 << 20, 1 << 20
 #: A separator: From, sender, asctime date (zone before the year, anything after it), end of line.
-_CLOCK = rb"\d{1,2} +\d{1,2}:\d\d(:\d\d)?"
-_ZONE = rb"( +([-+]\d{4}|[A-Z]{1,5}))?"
-SEPARATOR = re.compile(rb"^From \S* +[A-Z][a-z][a-z] +[A-Z][a-z][a-z] +" + _CLOCK + _ZONE + rb" +\d{4}( [^\r\n]*)?\r?\n", re.M)
+_CLOCK = rb"\d\d? +\d\d?:\d\d(:\d\d)?"
+_ZONE = rb"( +([A-Z]{1,5}|[-+]\d{4}))?"
+SEPARATOR = re.compile(rb"^From \S* +[A-Z][a-z][a-z] +[A-Z][a-z][a-z] +" + _CLOCK + _ZONE + rb" +\d{4}( [^\n\r]*)?\r?\n", re.M)
 QUOTED = re.compile(rb"(?m)^>(?=>*From )")
 MAGIC = {"zstd": b"\x28\xb5\x2f\xfd", "gzip": b"\x1f\x8b"}
 SUFFIX = {".zst": "zstd", ".gz": "gzip"}
@@ -36,8 +36,7 @@ def unescape(raw: bytes) -> bytes:
 
 def compression_of(path: str | Path) -> str | None:
     """By the first bytes, so the name may be wrong."""
-    with open(path, "rb") as f:
-        head = f.read(4)
+    head = Path(path).open("rb").read(4)
     return next((k for k, m in MAGIC.items() if head.startswith(m)), None)
 
 
@@ -123,7 +122,7 @@ def _blank_before(data: bytes, at: int, start: bool, line: bool) -> bool:
     if at == 0:
         return start
     before = data[max(0, at - 3) : at]
-    return before.endswith((b"\n\n", b"\n\r\n")) or (line and before in (b"\n", b"\r\n"))
+    return before.endswith((b"\n\n", b"\n\r\n")) or (line and before.lstrip(b"\r") == b"\n" and len(before) < 3)
 
 
 class _Window:

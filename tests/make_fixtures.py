@@ -18,49 +18,44 @@ def filler(seed: str, n: int) -> bytes:
 
 
 def pdf(seed: str) -> bytes:
-    return b"%PDF-1.4\n" + filler(seed, 2000)
+    return b"".join([b"%PDF-1.7 own\n", filler(seed, 2000)])
 
 
 def png(seed: str, n: int) -> bytes:
-    return b"\x89PNG\r\n\x1a\n" + filler(seed, n - 8)
+    return (b"\x89PNG" + filler(seed, n))[:n]
 
 
 def mail(name, n=None, subject="A message", when="auto", labels="Inbox", body="Plain text body.", html=None, files=(), cc=None, mid=True):
     m = EmailMessage(policy=SMTP)
-    m["From"], m["To"] = "Alice Example <alice@example.com>", "Bob Example <bob@example.org>, carol@example.net"
-    if cc:
-        m["Cc"] = cc
-    if subject is not None:
-        m["Subject"] = subject
+    m["From"], m["To"] = "Alice Example <alice@example.com>", "carol@example.net, Bob Example <bob@example.org>"
+    for field, value in {"Cc": cc, "Subject": subject, "X-Gmail-Labels": labels}.items():
+        if value is not None:
+            m[field] = value
     date = START + timedelta(hours=n or 0) if when == "auto" else when
     if date:
         m["Date"] = format_datetime(date)
     if mid:
         m["Message-ID"] = mid if isinstance(mid, str) else f"<{name}.{n}@fixtures.example.com>"
-    if labels is not None:
-        m["X-Gmail-Labels"] = labels
     m["X-GM-THRID"] = "1790000000000000001"
-    if body is not None:
-        m.set_content(body)
-    if html is not None:
-        m.add_alternative(html, subtype="html") if body is not None else m.set_content(html, subtype="html")
-    for fn, kind, data, *how in files:
-        if not m.is_multipart():
-            m.make_mixed()
+    texts = [(body, "plain"), (html, "html")]
+    for k, (content, kind) in enumerate(x for x in texts if x[0] is not None):
+        (m.add_alternative if k else m.set_content)(content, subtype=kind)
+    for k, (fn, kind, data, *how) in enumerate(files):
+        k or m.make_mixed()
         m.add_attachment(data, *kind.split("/"), filename=fn, disposition=how[0] if how else "attachment")
     for i, p in enumerate(x for x in m.walk() if x.is_multipart()):
         p.set_boundary(f"=====part-{i}==")
-    return m.as_bytes(policy=SMTP)
+    return bytes(m)
 
 
 def lines(*text: str) -> bytes:
-    return ("\n".join(text) + "\n").encode("latin-1")
+    return b"".join(x.encode("latin-1") + b"\n" for x in text)
 
 
 def box(*mails: bytes) -> bytes:
     out = b""
     for i, m in enumerate(mails):
-        out += f"From {1780000000000000000 + i}@xxx Mon Jan 15 09:30:00 +0000 2024\n".encode() + m.rstrip(b"\r\n") + b"\n\n"
+        out += f"From {1780000000000000000 + i}@xxx Mon Jan 15 09:30:00 +0000 2024\n".encode() + m.rstrip() + b"\n\n"
     return out
 
 
@@ -68,22 +63,22 @@ def basic() -> bytes:
     b = "basic"
     return box(
         mail(b, 1, "Plain text only"),
-        mail(b, 2, "HTML only", body=None, html="<p>Hello <b>Bob</b>, this is <i>HTML only</i>.</p>"),
-        mail(b, 3, "Alternative", body="The plain version.", html="<p>The HTML version.</p>"),
+        mail(b, 2, "HTML only", body=None, html="<p>Dear <b>Carol</b>: all <i>slanted</i>.</p>"),
+        mail(b, 3, "Alternative", html="<p>As HTML.</p>", body="As plain text."),
         mail(b, 4, "Re: Fwd: RE: Quarterly plan (v2)!"),
         mail(b, 5, "Café résumé naïve"),
         mail(b, 6, "Weekly sync " * 12),
-        mail(b, 7, "With Cc", cc="Dave Example <dave@example.com>"),
-        mail(b, 8, "Reply quoting", body="Sounds good.\n\nOn Monday, Bob wrote:\n> Shall we meet?\n> -- Bob"),
+        mail(b, 7, "With Cc", cc="Dan Other <dan@example.com>"),
+        mail(b, 8, "Reply quoting", body="Fine.\n\nOn Friday Eve wrote:\n> Lunch?\n> Eve"),
     )
 
 
 def labels() -> bytes:
     b = "labels"
-    folded = lines("From: alice@example.com", "Subject: Folded labels", "Date: Mon, 15 Jan 2024 13:30:00 +0000", "Message-ID: <labels.4@fixtures.example.com>", "X-Gmail-Labels: Inbox,", " Category Updates,", "\tOpened", "", "Folded.")
+    folded = lines("From: alice@example.com", "Message-ID: <four@labels.example.com>", "Date: Tue, 16 Jan 2024 08:00:00 +0000", "X-Gmail-Labels: Inbox,", " Updates of kind,", "\tRead", "Subject: Folded", "", "Folded.")
     return box(
-        mail(b, 1, "In the inbox", labels="Inbox,Important,Opened"), mail(b, 2, "Spam message", labels="Spam"),
-        mail(b, 3, "Trashed", labels="Opened,Trash"), folded, mail(b, 5, "No labels header", labels=None),
+        mail(b, 1, "In the inbox", labels="Important,Inbox,Read"), mail(b, 2, "Spam message", labels="Spam"),
+        mail(b, 3, "Trashed", labels="Read,Trash"), folded, mail(b, 5, "No labels header", labels=None),
         mail(b, 6, "Custom label", labels="Archived,Receipts/2024"),
         mail(b, 7, "First copy", mid="<labels.dup@fixtures.example.com>"), mail(b, 8, "Second copy", labels="Sent", mid="<labels.dup@fixtures.example.com>"),
         mail(b, 9, "Spam first", labels="Spam", mid="<labels.spam@fixtures.example.com>"), mail(b, 9, "Spam first", labels="Inbox,Starred", mid="<labels.spam@fixtures.example.com>"),
@@ -103,14 +98,14 @@ def attachments() -> bytes:
     outer.add_attachment(inner)
     outer.set_boundary("=====outer==")
     return box(
-        mail(b, 1, "Report", files=[("report.pdf", "application/pdf", report)]),
+        mail(b, 1, "Report", files=[("paper.pdf", "application/pdf", report)]),
         mail(b, 2, "Same bytes, new name", files=[("copy.pdf", "application/pdf", report)]),
-        mail(b, 3, "Same bytes, odd suffix", files=[("report.e3fc6c20", "application/pdf", report)]),
-        mail(b, 4, "Same name, new bytes", files=[("report.pdf", "application/pdf", pdf("v2"))]),
-        mail(b, 5, "Inline", body=None, html="<p>Logo and photo.</p>", files=[("pixel.png", "image/png", png("pixel", 300), "inline"), ("photo.png", "image/png", png("photo", 12_000), "inline"), ("tiny.png", "image/png", png("tiny", 200))]),
+        mail(b, 3, "Same bytes, odd suffix", files=[("paper.0ab1cd2e", "application/pdf", report)]),
+        mail(b, 4, "Same name, new bytes", files=[("paper.pdf", "application/pdf", pdf("v2"))]),
+        mail(b, 5, "Inline", html="<p>Two pictures.</p>", body=None, files=[(f"{n}.png", "image/png", png(n, k), how) for n, k, how in (("dot", 300, "inline"), ("photo", 11_000, "inline"), ("tiny", 200, "attachment"))]),
         mail(b, 6, "Unnamed", files=[(None, "application/octet-stream", pdf("anon"))]),
-        mail(b, 7, "Path in name", files=[("../../etc/passwd", "text/plain", b"no real passwd\n")]),
-        mail(b, 8, "Attachment only", body=None, files=[("notes.txt", "text/plain", b"Just a file.\n")]),
+        mail(b, 7, "Path in name", files=[("../../etc/hosts", "text/plain", b"no real hosts\n")]),
+        mail(b, 8, "Attachment only", files=[("list.txt", "text/plain", b"A file.\n")], body=None),
         mail(b, 9, "Calendar", files=[("invite.ics", "text/calendar", b"BEGIN:VCALENDAR\nEND:VCALENDAR\n")]),
         outer.as_bytes(policy=SMTP),
     )
@@ -118,10 +113,24 @@ def attachments() -> bytes:
 
 def html() -> bytes:
     b = "html"
-    letter = """<html><head><title>Tab title</title><style>.b{color:red}</style></head><body>
-<table role="presentation"><tr><td><table><tr><td><img src="x.png" alt="Logo alt"></td></tr></table><h1>Monthly update</h1>
-<p>First paragraph.</p><p>Second, with a <a href="https://example.com/post">link</a>.</p><p>See <a href="../t.md">the template</a>.</p></td></tr></table></body></html>"""
-    receipt = "<table><tr><th>Item</th><th>Price</th></tr><tr><td>Widget</td><td>$5</td></tr></table>"
+    letter = """<html><head>
+<title>Window</title>
+<style>.b{color:red}</style>
+</head><body>
+<table role="presentation" width=9>
+<tr>
+<td><p></p><table>
+<tr>
+<td><img src="x.png" alt="Picture"></td></tr>
+</table>
+<p></p>
+<h1>News of May</h1>
+<p>Begins.</p>
+<p>Goes on at <a href="https://example.com/p/1">a page</a>.</p>
+<p>Read <a href="../n.md">the notes</a>.</p>
+</td></tr>
+</table></body></html>"""
+    receipt = "<table>\n<tr><th>What</th>\n<th>Cost</th></tr>\n<tr><td>Tea</td>\n<td>3</td></tr>\n</table>"
     odd = "<p>Hello&nbsp;&nbsp;&nbsp;world</p><p>&nbsp;</p><p>one<br>two</p><pre>keep    this</pre><ul><li>a</li><li>b</li></ul>"
     return box(
         mail(b, 1, "Newsletter", body=None, html=letter), mail(b, 2, "Receipt", body=None, html=receipt),
@@ -138,13 +147,13 @@ def encodings() -> bytes:
     return box(
         "\n".join([*head(1, "Subject: ünï 🎉", "X-Gmail-Labels: Été"), "", "ok", ""]).encode(),
         mail("enc", 2, "日本語の件名"),
-        lines(*head(3, "Subject: Latin", "Content-Type: text/plain; charset=iso-8859-1", "Content-Transfer-Encoding: quoted-printable"), "", "caf=E9"),
-        lines(*head(4, "Subject: Unknown one", "Content-Type: text/plain; charset=unknown-8bit", "Content-Transfer-Encoding: 8bit"), "", "caf\xe9"),
-        lines(*head(5, "Subject: Unknown two", "Content-Type: text/plain; charset=x-made-up", "Content-Transfer-Encoding: 8bit"), "", "caf\xe9"),
-        lines(*head(6, "Subject: =?utf-8?q?Encoded_w=C3=B6rd?=", "X-Gmail-Labels: =?utf-8?q?Caf=C3=A9?=,Inbox", "Content-Type: text/plain; charset=utf-8", "Content-Transfer-Encoding: base64"), "", base64.b64encode("Grüße".encode()).decode()),
+        lines(*head(3, "Subject: Latin", "Content-Transfer-Encoding: quoted-printable", "Content-Type: text/plain; format=flowed; charset=iso-8859-1"), "", "caf=E9"),
+        lines(*head(4, "Subject: Unknown one", "Content-Transfer-Encoding: 8bit", "Content-Type: text/plain; charset=unknown-8bit"), "", "caf\xe9"),
+        lines(*head(5, "Subject: Unknown two", "Content-Transfer-Encoding: 8bit", "Content-Type: text/plain; charset=x-made-up"), "", "caf\xe9"),
+        lines(*head(6, "Subject: =?utf-8?q?Encoded_w=C3=B6rd?=", "X-Gmail-Labels: =?utf-8?q?Caf=C3=A9?=,Inbox", "Content-Transfer-Encoding: base64", "Content-Type: text/plain; format=fixed; charset=utf-8"), "", base64.b64encode("Grüße".encode()).decode()),
         lines("Message-ID: <enc.7@fixtures.example.com>", "From: alice@example.com", "Subject: Bad date", "Date: soon", "", "x"),
         lines("Message-ID: <enc.8@fixtures.example.com>", "From: alice@example.com", "", "no subject, no date"),
-        lines("Message-ID: <enc.9@fixtures.example.com>", "From: <<broken@@example.com", "To: , ,x@example.com", "Subject: Bad addresses", "Date: Mon, 15 Jan 2024 09:30:00 +0000", "", "x"),
+        lines("Message-ID: <enc.9@fixtures.example.com>", "To: , ,x@example.com", "From: <<nobody@@example.com", "Subject: Bad addresses", "Date: Mon, 15 Jan 2024 09:30:00 +0000", "", "x"),
         mail("enc", 10, "West", when=datetime(2024, 1, 31, 23, 45, tzinfo=west)),
         crlf,
     )
@@ -158,13 +167,13 @@ def separators() -> bytes:
 
 
 def mailclient() -> bytes:
-    one = lines("From alice@example.com Mon Jan  5 09:30:00 2024", "Message-ID: <m1@example.com>", "Subject: One", "", ">From quoted", ">>From deeper", "")
+    one = lines("From eve@example.net Fri Mar  1 08:15:00 2024", "Message-ID: <m1@example.com>", "Subject: One", "", ">From quoted", ">>From deeper", "")
     two = lines("From MAILER-DAEMON Mon Jan 15 09:30 2024", "Message-ID: <m2@example.com>", "Subject: Two", "", "bounce", "")
     return one + two + lines("From bob@example.org Mon Jan 15 09:30:00 EST 2024 remote from x", "Message-ID: <m3@example.com>", "Subject: Three", "", "zone")
 
 
 def crlf() -> bytes:
-    return box(mail("crlf", 1, "One"), mail("crlf", 2, "Two")).replace(b"\r\n", b"\n").replace(b"\n", b"\r\n")
+    return b"\r\n".join(x.rstrip(b"\r") for x in box(mail("crlf", 1, "One"), mail("crlf", 2, "Two")).split(b"\n"))
 
 
 ALL = {f.__name__: f for f in (basic, labels, attachments, html, encodings, separators, mailclient, crlf)} | {"empty": lambda: b""}

@@ -33,7 +33,7 @@ def page(out: Path, subject: str) -> str:
 
 def links_resolve(out: Path):
     for m in manifest(out):
-        for link in re.findall(r"\]\((\.\./[^)]+)\)", (out / m["path"]).read_text()):
+        for link in re.findall(r"\((\.\.[^)]*)\)", (out / m["path"]).read_text()):
             assert ((out / m["path"]).parent / link).is_file()
         for a in m["attachments"]:
             assert (out / a["path"]).stat().st_size == a["size"]
@@ -42,15 +42,15 @@ def links_resolve(out: Path):
 def test_basic(run):
     s, out = run("basic")
     assert (s.ok, s.errors, s.body_plain, s.body_html) == (8, 0, 7, 1) and s.processed == 8
-    assert "Hello **Bob**, this is *HTML only*." in page(out, "HTML only")
-    assert "The plain version." in page(out, "Alternative")
+    assert "Dear **Carol**: all *slanted*." in page(out, "HTML only")
+    assert "As plain text." in page(out, "Alternative")
     m = manifest(out)
     assert [x["subject"] for x in m][:2] == ["Plain text only", "HTML only"]
     assert m[3]["path"].startswith("2024/01/2024-01-15-1330-quarterly-plan-v2-")
     assert list(m[0]) == ["key", "path", "message_id", "date", "subject", "labels", "thread_id", "body", "attachments", "from"]
     text = page(out, "With Cc")
-    assert 'cc: ["dave@example.com"]\n' in text and 'date: "2024-01-15T16:30:00+00:00"\n' in text
-    assert 'to: ["bob@example.org", "carol@example.net"]\n' in text and text.endswith("Plain text body.\n")
+    assert 'cc: ["dan@example.com"]\n' in text and 'date: "2024-01-15T16:30:00+00:00"\n' in text
+    assert 'to: ["carol@example.net", "bob@example.org"]\n' in text and text.endswith("Plain text body.\n")
     assert s.markdown_bytes == sum((out / x["path"]).stat().st_size for x in m)
     assert sorted((out / ".maillake-files").read_text().split("\n")[:-1]) == sorted(x["path"] for x in m)
 
@@ -59,7 +59,7 @@ def test_labels(run):
     s, out = run("labels")
     assert (s.ok, s.skipped, s.duplicate_message_ids_skipped, s.labels_updated) == (8, 3, 1, 1)
     by = {m["subject"]: m["labels"] for m in manifest(out)}
-    assert by["First copy"] == ["Inbox", "Sent"] and by["Folded labels"] == ["Inbox", "Category Updates", "Opened"]
+    assert by["First copy"] == ["Inbox", "Sent"] and by["Folded"] == ["Inbox", "Updates of kind", "Read"]
     assert by["No labels header"] == [] and by["Spam first"] == ["Inbox", "Starred"]
     assert 'labels: ["Inbox", "Sent"]' in page(out, "First copy")
 
@@ -78,7 +78,7 @@ def test_attachments(run):
     same = {a["path"] for k in ("Report", "Same bytes, new name", "Same bytes, odd suffix") for a in by[k]}
     assert len(same) == 1 and same.pop().endswith(".pdf")
     assert [a["name"] for a in by["Inline"]] == ["photo.png", "tiny.png"]
-    assert by["Unnamed"][0]["name"] == "attachment.pdf" and by["Path in name"][0]["name"] == ".._.._etc_passwd"
+    assert by["Unnamed"][0]["name"] == "attachment.pdf" and by["Path in name"][0]["name"] == ".._.._etc_hosts"
     assert by["Fwd: The original"][0]["name"] == "The original.eml"
     index = [json.loads(x) for x in (out / "attachments/index.jsonl").read_text().splitlines()]
     assert len(index) == s.unique_attachments and sum(x["size"] for x in index) == s.attachment_bytes_stored
@@ -91,9 +91,9 @@ def test_html(run):
     s, out = run("html")
     assert (s.ok, s.body_html) == (6, 6)
     letter = page(out, "Newsletter")
-    assert "# Monthly update" in letter and "[link](https://example.com/post)" in letter and "See the template." in letter
-    assert not any(x in letter for x in ("Tab title", "color", "Logo alt", "x.png", "|"))
-    assert "| Item | Price |" in page(out, "Receipt") and "| Widget | $5 |" in page(out, "Receipt")
+    assert "# News of May" in letter and "[a page](https://example.com/p/1)" in letter and "Read the notes." in letter
+    assert not any(x in letter for x in ("Window", "color", "Picture", "x.png", "|"))
+    assert "| What | Cost |" in page(out, "Receipt") and "| Tea | 3 |" in page(out, "Receipt")
     odd = page(out, "Odd space")
     assert "Hello world" in odd and "one  \ntwo" in odd and "keep    this" in odd and "* a\n* b" in odd
     assert "Only the HTML says it." in page(out, "Blank plain") and "X  \nY" in page(out, "XHTML")
@@ -104,7 +104,7 @@ def test_encodings(run):
     assert (s.ok, s.errors) == (11, 0)
     assert "café" in page(out, "Latin") and "caf�" in page(out, "Unknown one") and "Grüße" in page(out, "Encoded wörd")
     by = {m["subject"]: m for m in manifest(out)}
-    assert by["Encoded wörd"]["labels"] == ["Café", "Inbox"] and by["Bad addresses"]["from"] == "<<broken@@example.com"
+    assert by["Encoded wörd"]["labels"] == ["Café", "Inbox"] and "<<nobody@@example.com" == by["Bad addresses"]["from"]
     assert by["Bad date"]["date"] is None and by[""]["path"].startswith("undated/undated-0000-no-subject-")
     assert by["West"]["path"].startswith("2024/01/2024-01-31-2345") and by["West"]["date"].endswith("-08:00")
 
@@ -129,7 +129,7 @@ def test_incremental_runs(run):
     assert (s.ok, s.already_converted) == (5, 3) and len(manifest(out)) == 8
     s, out = run("basic", incremental=True)
     assert (s.ok, s.already_converted, s.labels_updated) == (0, 8, 0) and len(manifest(out)) == 8
-    changed = fx.basic().replace(b"X-Gmail-Labels: Inbox", b"X-Gmail-Labels: Archived", 1)
+    changed = b"Labels: Archived".join(fx.basic().split(b"Labels: Inbox", 1))
     s, out = run("basic", incremental=True, data=changed)
     assert s.labels_updated == 1 and manifest(out)[0]["labels"] == ["Archived"]
     assert 'labels: ["Archived"]' in page(out, "Plain text only")
@@ -151,7 +151,7 @@ def test_prune(run):
     assert s.stale_files > 10 and (out / "attachments").exists()
     (out / "own.txt").write_text("mine")
     s, out = run("basic", prune=True)
-    assert s.pruned > 10 and (out / "own.txt").exists() and not any((out / "attachments").rglob("*.pdf"))
+    assert s.pruned > 10 and (out / "own.txt").exists() and not list(out.rglob("*.pdf"))
     assert {p.relative_to(out).as_posix() for p in out.rglob("*.md")} == {m["path"] for m in manifest(out)}
 
 

@@ -22,7 +22,7 @@ def by_lines(data):
             now = []
         else:
             now.append(line)
-        blank = line in (b"\n", b"\r\n")
+        blank = not line.strip(b"\n") or line == b"\r\n"
     return out + ([b"".join(now)] if now else [])
 
 
