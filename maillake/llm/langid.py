@@ -183,10 +183,17 @@ def held_out():
 
 def fit(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> Model:
     """Train on a bounded sample of the labelled rows outside the held-out third."""
+    labelled = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    # a share of each language is drawn first, some four times what is needed, so that little of a large table moves
+    sizes = labelled.groupBy("lang").count().collect()  # a row per language
+    share = docs.sparkSession.createDataFrame([(r[0], 4.0 * DOCS_PER_LANGUAGE / r[1]) for r in sizes], "lang string, share double")
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    h = F.xxhash64("doc_id")
     rows = (
-        docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
+        labelled.withColumn("h", h)
+        .join(F.broadcast(share), "lang")
+        .where((F.pmod("h", F.lit(1 << 32)) / float(1 << 32) < F.col("share")) & F.col("text").isNotNull())
+        .select("doc_id", "lang", "h", F.substring("text", 1, TRAIN_CHARS).alias("text"))
         .withColumn("r", F.row_number().over(w))
         .where(F.col("r") <= DOCS_PER_LANGUAGE)
         .select("lang", "text")
@@ -294,11 +301,12 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _STATE.get("of") != shared.id:
             _STATE.update(of=shared.id, scorer=Scorer(Model(*shared.value)))
+        scorer = _STATE["scorer"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 texts = b.column("text").cast(pa.binary()).to_pylist()
-                keep = [lang != "und" and score >= least for lang, score in _STATE["scorer"].predict(texts)]
+                keep = [lang != "und" and score >= least for lang, score in scorer.predict(texts)]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
