@@ -13,6 +13,17 @@ from maillake.ship import ship  # noqa: F401  (used by the queries and the pipel
 SPACE = r"[\x20\x09-\x0D]"
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """State that a Python worker keeps between tasks: that of one operator at a time, so that it stays bounded."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext

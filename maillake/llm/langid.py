@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from maillake.llm.common import table
+from maillake.llm.common import kept, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 DOCS_PER_LANGUAGE, TRAIN_CHARS, ROUNDS = 400, 20_000, 4
-LONGEST_PIECE, LONGEST_WORD, CACHE = 8, 32, 400_000
+LONGEST_PIECE, LONGEST_WORD, CACHE = 8, 32, 200_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -205,9 +205,6 @@ def fit(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> Model:
     return train(counts, vocabulary(vocabulary_path))
 
 
-_STATE: dict = {}
-
-
 class Scorer:
     """Predicts texts with one model; word scores are cached up to CACHE distinct words."""
 
@@ -259,9 +256,7 @@ class Scorer:
 
 def _predictor(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _STATE.get("of") != shared.id:
-            _STATE.update(of=shared.id, scorer=Scorer(Model(*shared.value)))
-        scorer = _STATE["scorer"]
+        scorer = kept(shared.id, lambda: Scorer(Model(*shared.value)))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
@@ -299,9 +294,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     shared = _Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _STATE.get("of") != shared.id:
-            _STATE.update(of=shared.id, scorer=Scorer(Model(*shared.value)))
-        scorer = _STATE["scorer"]
+        scorer = kept(shared.id, lambda: Scorer(Model(*shared.value)))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)

@@ -23,17 +23,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maillake.llm.common import table
+from maillake.llm.common import kept, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE, CACHED_LENGTH = 500_000, 48
+CACHE, CACHED_LENGTH = 300_000, 48
 
 
 class _Memo(dict):
@@ -88,7 +87,7 @@ class Transducer:
         back[self.unknown] = " ⁇ ".encode()
         self.back = back
         self.parts = re.compile(self._cuts())
-        self.adjacent = _Memo(lambda ab: self._merged(ab[0] + ab[1]) == [*filter(None, ab)], 4 * CACHE)
+        self.adjacent = _Memo(lambda ab: self._merged(ab[0] + ab[1]) == [*filter(None, ab)], CACHE)
         self.cache = _Memo(self._path, CACHE)
 
     def _cuts(self) -> str:
@@ -165,9 +164,8 @@ class Transducer:
         return text.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def compiled(model: bytes) -> Transducer:
-    return Transducer(model)
+    return kept(("pieces", hash(model)), lambda: Transducer(model))
 
 
 def _read(path: str) -> bytes:
