@@ -2,10 +2,12 @@
 
 Tokens are counted by source, language and topic; raking scales the cells of that table until its
 source, language and topic marginals meet the targets; a document is then sampled with its cell's
-calibrated probability, by a hash of its id, so a rerun task draws alike. The probability is the cell's
-weight (target over actual share) times a scale. With `keep` the scale is such that this share of all
-tokens is expected; cells that would pass 1 are taken whole, once, and their marginals fall short by what
-they lack. Without `keep` it is the largest scale that passes 1 nowhere, and the marginals are met exactly.
+calibrated rate, by a hash of its id, so a rerun task draws alike. The rate is the cell's weight (target
+over actual share) times a scale. In production `keep` is `Copies(KEEP)`: that share of all tokens is
+expected, and a document of a cell whose rate passes 1 is taken in as many whole copies, once more by a
+draw for the fraction, so the expected marginals are the targets at any share. As a plain number, `keep`
+excludes copies: cells that would pass 1 are taken whole, once, and their marginals fall short by what
+they lack. Without `keep` the scale is the largest that passes 1 nowhere, and the marginals are met exactly.
 
 Values outside the targets form one class, `OTHER`, per marginal and keep their actual share, so the
 table has at most (sources + 1) (languages + 1) (topics + 1) cells, set by the targets and not by the
@@ -15,7 +17,7 @@ shuffle: a hot source is a row per task and cell.
 Defined cases: null marginals and texts: OTHER and 0 tokens; targets of values that don't occur are
 dropped and the rest rescaled; cells without tokens and documents without tokens have the
 probability of the cell, 1 where nothing is known; repeated ids share one draw; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored. Copies of a document are as many rows of sample().
 """
 
 from __future__ import annotations
@@ -30,6 +32,12 @@ MARGINALS = ("source", "lang", "topic")
 SEED = 20240501
 #: Share of all tokens that is sampled.
 KEEP = 0.7
+
+
+class Copies(float):
+    """A share of all tokens that is met with whole copies where a rate passes 1."""
+
+
 #: Production targets: the largest source is brought down, small languages up a little.
 TARGETS = {
     "source": {"src0": 0.27, **{f"src{i}": 0.73 / 19 for i in range(1, 20)}},
@@ -82,7 +90,9 @@ def _cells(docs: DataFrame, targets: dict, topic_of: Column) -> DataFrame:
 
 
 def scale_for(n: np.ndarray, weight: np.ndarray, keep: float | None) -> float:
-    """The scale of weights by which the expected share of tokens is `keep`, repeats excluded."""
+    """The scale of weights by which the expected share of tokens is `keep`, repeats excluded unless it is Copies."""
+    if isinstance(keep, Copies):
+        return float(keep)  # weights are 1 on average over tokens
     if keep is None:
         return 1 / weight[n > 0].max()
     if not 0 < keep <= 1:
@@ -95,7 +105,7 @@ def scale_for(n: np.ndarray, weight: np.ndarray, keep: float | None) -> float:
 
 
 def calibrate(counts: DataFrame, targets: dict, keep: float | None) -> list[tuple[str, str, str, float, float]]:
-    """(source, lang, topic, weight, probability) of each cell; weight is target over actual share."""
+    """(source, lang, topic, weight, rate) of each cell: target over actual share, expected copies of a document."""
     rows = counts.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("n")).collect()  # bounded by the targets
     names = [[*targets[m], OTHER] for m in MARGINALS]
     at = [{n: i for i, n in enumerate(x)} for x in names]
@@ -110,30 +120,37 @@ def calibrate(counts: DataFrame, targets: dict, keep: float | None) -> list[tupl
     out = []
     for r in rows:
         w = float(weight[tuple(a[r[m]] for a, m in zip(at, MARGINALS))])
-        out.append((*(r[m] for m in MARGINALS), w, min(1.0, float(w * scale))))
+        rate = float(w * scale)
+        out.append((*(r[m] for m in MARGINALS), w, rate if isinstance(keep, Copies) else min(1.0, rate)))
     return out
 
 
-def mix(docs: DataFrame, targets: dict = TARGETS, topic_of: Column | None = None, seed: int = SEED, keep: float | None = KEEP) -> DataFrame:
-    """One row per row of docs (doc_id, text, source, lang): doc_id, source, lang, topic, n_tokens, weight, probability, kept."""
+def drawn(rate: Column, seed: int) -> Column:
+    """How many copies of a document are taken: the whole part of the rate, and one more by its fraction."""
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
+
+
+def mix(docs: DataFrame, targets: dict = TARGETS, topic_of: Column | None = None, seed: int = SEED, keep: float | None = Copies(KEEP)) -> DataFrame:
+    """One row per row of docs (doc_id, text, source, lang): doc_id, source, lang, topic, n_tokens, weight, probability (of any copy), copies, kept."""
     rows = _cells(docs, targets, topic(F.col("text")) if topic_of is None else topic_of)
     spark = docs.sparkSession
     found = calibrate(rows, targets, keep)
-    cells = spark.createDataFrame(found, "source string, lang string, topic string, weight double, probability double")
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    out = rows.join(F.broadcast(cells), list(MARGINALS), "left")
-    return out.select("doc_id", *MARGINALS, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("kept"))
+    cells = spark.createDataFrame(found, "source string, lang string, topic string, weight double, rate double")
+    out = rows.join(F.broadcast(cells), list(MARGINALS), "left").withColumn("copies", drawn(F.col("rate"), seed))
+    return out.select("doc_id", *MARGINALS, "n_tokens", "weight", F.least("rate", F.lit(1.0)).alias("probability"), "copies", (F.col("copies") > 0).alias("kept"))
 
 
-def sample(docs: DataFrame, targets: dict = TARGETS, seed: int = SEED, keep: float | None = KEEP) -> DataFrame:
-    """The rows of docs that are drawn, all columns kept; the cell is looked up beside the text, without a shuffle."""
+def sample(docs: DataFrame, targets: dict = TARGETS, seed: int = SEED, keep: float | None = Copies(KEEP)) -> DataFrame:
+    """The rows of docs that are drawn, a row a copy, all columns kept; the cell is looked up beside the text, without a shuffle."""
     kinds = _cells(docs, targets, topic(F.col("text")))
     found = calibrate(kinds, targets, keep)
     names = {"__maillake_s": F.col("source"), "__maillake_l": F.col("lang"), "__maillake_t": topic(F.col("text"))}
     cells = docs.sparkSession.createDataFrame([(s, l, t, p) for s, l, t, _, p in found], "__maillake_s string, __maillake_l string, __maillake_t string, __maillake_p double")
     rows = docs.withColumns({k: F.when(c.isin(list(targets[m])), c).otherwise(OTHER) for (k, c), m in zip(names.items(), MARGINALS)})
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    return rows.join(F.broadcast(cells), list(names), "left").where(draw < F.col("__maillake_p")).select(docs.columns)
+    taken = rows.join(F.broadcast(cells), list(names), "left").withColumn("__maillake_c", drawn(F.col("__maillake_p"), seed))
+    once = F.array_repeat(F.lit(0), F.col("__maillake_c"))
+    return taken.where("__maillake_c > 0").select(*docs.columns, F.explode(once).alias("__maillake_n")).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,28 @@ def test_edge_rows(spark):
     assert mixing.sample(df, TARGETS).columns == df.columns
     assert mixing.mix(df.limit(0), TARGETS).count() == 0
     assert mixing.mix(df.where("doc_id <= 2"), TARGETS).count() == 2
+
+
+def test_production_meets_the_marginals(spark):
+    d = docs(spark, 20_000)
+    r = mixing.mix(d, TARGETS).toPandas()
+    total, tokens = r.n_tokens.sum(), r.n_tokens * r.copies
+    assert r.weight.max() * mixing.KEEP > 1 and r.copies.max() > 1 and (r.kept == (r.copies > 0)).all()
+    assert abs((r.n_tokens * r.weight).sum() / total - 1) < 1e-6 and abs(tokens.sum() / total - mixing.KEEP) < 0.02
+    for marginal in ("source", "lang", "topic"):
+        known = {k: v for k, v in TARGETS[marginal].items() if (r[marginal] == k).any()}
+        rest = 1 - r.n_tokens[r[marginal] == mixing.OTHER].sum() / total
+        for k, v in known.items():
+            want = v / sum(known.values()) * rest
+            assert abs((r.n_tokens * r.weight)[r[marginal] == k].sum() / total - want) < 1e-6
+            assert abs(tokens[r[marginal] == k].sum() / tokens.sum() - want) < 0.02
+    rows = mixing.sample(d, TARGETS).groupBy("doc_id").count().toPandas()
+    assert dict(zip(rows.doc_id, rows["count"])) == dict(zip(r.doc_id[r.kept], r.copies[r.kept]))
+
+
+def test_query_delivers_the_targets(spark):
+    r = mixing.query(spark, "/root/testdata/sf0.1").toPandas()
+    tokens = r.n_tokens * r.copies
+    for marginal in ("source", "lang", "topic"):
+        for k, v in mixing.TARGETS[marginal].items():
+            assert abs(tokens[r[marginal] == k].sum() / tokens.sum() - v) < 0.015
