@@ -7,8 +7,8 @@ every segment of every document that could hold them streams; what it locates is
 compares words, not hashes, and a pattern that it finds only once is dropped, so no collision marks a word.
 
 Defined cases: null and blank texts have no words; texts below 35 words lose nothing; a window that recurs
-in its own document counts; repeated rows recur; rows that share a doc_id also share their marks; an
-empty table gives an empty result; extra columns are ignored.
+in its own document counts; repeated rows recur; rows of different texts under one doc_id, or none, are
+marked each for itself; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def _window_hashes(values: np.ndarray, window: int) -> np.ndarray:
 
 
 def locate(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks (doc, start, stop in words) of the shard's recurring passages."""
+    """Marks (index of the occurrence, start, stop in words) of the shard's recurring passages."""
     nothing = (np.zeros(0, np.int64),) * 3
     times = np.bincount(shard.which, minlength=len(shard.texts))
     live = np.bincount(shard.gram[shard.which], minlength=shard.gram.max() + 1 if len(shard.gram) else 0)[shard.gram] > 1
@@ -84,7 +84,7 @@ def locate(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     base = (np.cumsum(per) - per)[local[occ]]
     k = np.repeat(base, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
     at = np.repeat(shard.place[occ], reps) - first[owner[k]]
-    return np.repeat(shard.doc[occ], reps), begin[k] + at, close[k] + at
+    return np.repeat(occ, reps), begin[k] + at, close[k] + at
 
 
 def phrase_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD, block: int = BLOCK) -> DataFrame:

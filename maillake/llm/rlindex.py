@@ -9,8 +9,8 @@ match, the row lies in the class of all suffixes that begin with these 50 bytes,
 smallest doc_id they occur in. A window is marked wherever that id is smaller than the document's own.
 
 Defined cases: null text is empty; texts below 50 bytes lose nothing; a window that repeats in its own
-document only stays; rows that share a doc_id count as one document and share their marks; a null
-doc_id counts as larger than any; an empty table gives an empty result; extra columns are ignored.
+document only stays; rows that share a doc_id count as one document, and those without as one, but each
+is marked by its own text; a null doc_id counts as larger than any; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -182,7 +182,7 @@ def _shared(texts: list[bytes], least: np.ndarray, most: np.ndarray, window: int
 
 
 def locate(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks (doc, start, stop in bytes) of windows that a smaller doc_id has too."""
+    """Marks (index of the occurrence, start, stop in bytes) of windows that a smaller doc_id has too."""
     nothing = (np.zeros(0, np.int64),) * 3
     if not len(shard.which):
         return nothing
@@ -219,7 +219,7 @@ def locate(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         begin = np.flatnonzero(hit & (edge | ~np.concatenate([[False], hit[:-1]])))
         close = np.flatnonzero(hit & (np.append(edge[1:], True) | ~np.append(hit[1:], False)))
         owner = np.repeat(some, reps)[begin]
-        out.append((shard.doc[owner], shard.place[owner] + inner[begin], shard.place[owner] + inner[close] + window))
+        out.append((owner, shard.place[owner] + inner[begin], shard.place[owner] + inner[close] + window))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else nothing
 
 

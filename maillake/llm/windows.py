@@ -10,6 +10,9 @@ and the shard tells each block which of them occur elsewhere too; each block's a
 in a file of the shared folder. The second time only segments whose minimizer recurs leave, each text once
 a block however often it occurs, its places small numbers beside it, compressed. The answers only save
 work: a block that finds none (because rows came in another order) sends all its segments.
+
+A row is known by its doc_id and a hash of doc_id and text, so that rows of different texts under one
+doc_id, or under none, each get marks of their own.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from maillake.llm.common import HIT, id_bitmap, id_position, shared_dir, stored, with_hit
 
@@ -86,22 +89,22 @@ class Units:
             known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-    def segments(self, docs: list[tuple[int, int, bytes]]) -> tuple:
-        """Segments of a block of docs (doc_id, place of the first unit, text): data and arrays."""
+    def segments(self, docs: list[tuple[int, int, int, bytes]]) -> tuple:
+        """Segments of a block of docs (doc_id, row, place of the first unit, text): data and arrays."""
         if self.words:
-            split = [t.split() for _, _, t in docs]
+            split = [t.split() for *_, t in docs]
             words = [w for s in split for w in s]
             data = b" ".join(words)
             sizes = np.array([len(s) for s in split])
             length = np.fromiter(map(len, words), np.int64, len(words))
             begin = np.cumsum(length + 1) - length - 1
         else:
-            data = b"".join(t for _, _, t in docs)
-            sizes = np.array([len(t) for _, _, t in docs])
+            data = b"".join(t for *_, t in docs)
+            sizes = np.array([len(t) for *_, t in docs])
             begin, length = np.arange(len(data)), None
         n = len(begin)
         if n < self.window:
-            return data, *[np.zeros(0, np.int64)] * 7
+            return data, *[np.zeros(0, np.int64)] * 8
         order = grams(self._hash(words), self.gram) if self.words else byte_grams(data, self.gram)
         bits = np.uint64(max(1, int(n).bit_length()))
         low = (np.uint64(1) << bits) - np.uint64(1)
@@ -120,24 +123,24 @@ class Units:
         last = start + count + self.window - 2
         stop = begin[last] + (length[last] if self.words else 1)
         tail = at + self.gram - 1
-        ids = np.array([d for d, _, _ in docs], np.int64)[doc]
-        where = start - first[doc] + np.array([p for _, p, _ in docs], np.int64)[doc]
+        ids, rows, places = (np.array([d[k] for d in docs], np.int64)[doc] for k in range(3))
+        where = start - first[doc] + places
         gram_end = begin[tail] + (length[tail] if self.words else 1)
-        return data, order[at].view(np.int64), ids, where, count, begin[start], stop, np.stack([begin[at], gram_end])
+        return data, order[at].view(np.int64), ids, rows, where, count, begin[start], stop, np.stack([begin[at], gram_end])
 
-    def pieces(self, doc_id: int, text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    def pieces(self, doc_id: int, row: int, text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         """Very long texts in parts that overlap by a window less one unit, so that each window is in one part."""
         if self.words:
             if len(text) <= self.block:
-                yield doc_id, 0, text
+                yield doc_id, row, 0, text
                 return
             words = text.split()
             step = max(1, self.block // 8)
             for at in range(0, max(1, len(words) - self.window + 1), step):
-                yield doc_id, at, b" ".join(words[at : at + step + self.window - 1])
+                yield doc_id, row, at, b" ".join(words[at : at + step + self.window - 1])
         else:
             for at in range(0, max(1, len(text) - self.window + 1), self.block):
-                yield doc_id, at, text[at : at + self.block + self.window - 1]
+                yield doc_id, row, at, text[at : at + self.block + self.window - 1]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -145,7 +148,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return head + b"".join(a.tobytes() for a in arrays)
 
 
-_KINDS = ("<i8", "<u4", "<u4", "<u4", "<u2", "<u4", "<u4", "u1")
+_KINDS = ("<i8", "<i8", "<u4", "<u4", "<u4", "<u2", "<u4", "<u4", "u1")
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -158,16 +161,20 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _blocks(units: Units, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Texts (doc_id, place, part) in blocks of bounded size."""
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")).alias("row")
+
+
+def _blocks(units: Units, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """Texts (doc_id, row, place, part) in blocks of bounded size."""
     block, size = [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for piece in units.pieces(NO_ID if i is None else i, t or b""):
+            for i, r, t in zip(*(part.column(k).to_pylist() for k in range(3))):
+                for piece in units.pieces(NO_ID if i is None else i, r, t or b""):
                     block.append(piece)
-                    size += len(piece[2])
+                    size += len(piece[3])
                     if size >= units.block:
                         yield block
                         block, size = [], 0
@@ -175,9 +182,9 @@ def _blocks(units: Units, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tu
         yield block
 
 
-def _name(block: list[tuple[int, int, bytes]]) -> str:
+def _name(block: list[tuple[int, int, int, bytes]]) -> str:
     h = xxhash.xxh3_128()
-    for i, place, t in block:
+    for i, _, place, t in block:
         h.update(f"{i} {place} {len(t)} ".encode())
         h.update(t)
     return h.hexdigest()
@@ -191,6 +198,11 @@ def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(shard[order[a]]), order[a:b]
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text of docs (doc_id, text)."""
+    return docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("binary"))
+
+
 def _recurring(docs: DataFrame, units: Units, shards: int, folder: str) -> None:
     """Write, for each block, which of its segments have a minimizer that recurs."""
     from pyarrow import fs
@@ -227,8 +239,7 @@ def _recurring(docs: DataFrame, units: Units, shards: int, folder: str) -> None:
         store.move(part, f"{root}/{name}")
         return pa.table({"n": pa.array([len(rows)], pa.int64())})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    asked = rows.mapInArrow(ask, "shard int, block string, keys binary")
+    asked = _rows(docs).mapInArrow(ask, "shard int, block string, keys binary")
     answered = asked.groupBy("shard").applyInArrow(answer, "block string, shard int, bits binary")
     answered.groupBy("block").applyInArrow(keep, "n bigint").agg(F.sum("n")).collect()
 
@@ -260,8 +271,8 @@ def spread(docs: DataFrame, units: Units, shards: int) -> DataFrame:
     store.create_dir(root, recursive=True)
     _recurring(docs, units, shards, folder)
 
-    def emit(block: list[tuple[int, int, bytes]], press) -> pa.RecordBatch:
-        data, key, ids, where, count, begin, stop, gram = units.segments(block)
+    def emit(block: list[tuple[int, int, int, bytes]], press) -> pa.RecordBatch:
+        data, key, ids, rows, where, count, begin, stop, gram = units.segments(block)
         found = _answers(folder, block)
         names, blobs = [], []
         for shard, some in _groups((key.view(np.uint64) % np.uint64(shards)).astype(np.int64)):
@@ -274,7 +285,7 @@ def spread(docs: DataFrame, units: Units, shards: int) -> DataFrame:
             which = [seen.setdefault(t, len(seen)) for t in texts]
             one = some[np.unique(np.array(which), return_index=True)[1]]
             blobs.append(press.compress(_pack(
-                np.diff(ids[some], prepend=0).astype("<i8"), where[some].astype("<u4"), np.array(which, "<u4"),
+                np.diff(ids[some], prepend=0).astype("<i8"), np.diff(rows[some], prepend=0).astype("<i8"), where[some].astype("<u4"), np.array(which, "<u4"),
                 np.array([len(t) for t in seen], "<u4"), count[one].astype("<u2"),
                 (gram[0][one] - begin[one]).astype("<u4"), (gram[1][one] - gram[0][one]).astype("<u4"),
                 np.frombuffer(b"".join(seen), np.uint8),
@@ -287,7 +298,7 @@ def spread(docs: DataFrame, units: Units, shards: int) -> DataFrame:
         for block in _blocks(units, batches):
             yield emit(block, press)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "shard int, blob binary")
+    return _rows(docs).mapInArrow(run, "shard int, blob binary")
 
 
 class Shard:
@@ -297,9 +308,9 @@ class Shard:
         unpress = zstandard.ZstdDecompressor()
         seen: dict[bytes, int] = {}
         grams: dict[bytes, int] = {}
-        count, gram, docs, places, which = [], [], [], [], []
+        count, gram, docs, rows, places, which = [], [], [], [], [], []
         for blob in blobs:
-            d, place, index, sizes, n, g, glen, text = _unpack(unpress.decompress(blob))
+            d, r, place, index, sizes, n, g, glen, text = _unpack(unpress.decompress(blob))
             raw, ends = text.tobytes(), np.cumsum(sizes).tolist()
             own = []
             for a, b, k, x, y in zip([0, *ends], ends, n.tolist(), g.tolist(), glen.tolist()):
@@ -311,21 +322,24 @@ class Shard:
                     gram.append(grams.setdefault(t[x : x + y], len(grams)))
                 own.append(i)
             docs.append(np.cumsum(d))
+            rows.append(np.cumsum(r))
             places.append(place.astype(np.int64))
             which.append(np.array(own, np.int64)[index])
         self.texts = list(seen)
         self.count, self.gram = np.array(count, np.int64), np.array(gram, np.int64)
-        self.doc, self.place, self.which = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, places, which))
+        self.doc, self.row, self.place, self.which = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, rows, places, which))
 
 
 def by_shard(blobs: DataFrame, work: Callable[[Shard], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """(doc_id, start, stop): the units that `work` marks, shard by shard."""
+    """(doc_id, row, start, stop): the units that `work` marks (index of the occurrence, start, stop), shard by shard."""
 
     def run(t: pa.Table) -> pa.Table:
-        doc, start, stop = work(Shard(t.column("blob").to_pylist()))
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
+        shard = Shard(t.column("blob").to_pylist())
+        which, start, stop = work(shard)
+        cols = {"doc_id": shard.doc[which], "row": shard.row[which], "start": start, "stop": stop}
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in cols.items()})
 
-    return blobs.groupBy("shard").applyInArrow(run, "doc_id long, start long, stop long")
+    return blobs.groupBy("shard").applyInArrow(run, "doc_id long, row long, start long, stop long")
 
 
 def shards_for(docs: DataFrame, size: int) -> int:
@@ -336,12 +350,13 @@ def shards_for(docs: DataFrame, size: int) -> int:
 def finish(docs: DataFrame, marks: DataFrame, work: Callable[[bytes, list], tuple], schema: str) -> DataFrame:
     """Apply work(text, marks) to each doc; only the texts that have marks are moved to meet them."""
     marks = stored(marks)
-    bitmap = id_bitmap(marks.select(id_position(F.col("doc_id")).alias("pos")))
+    bitmap = id_bitmap(marks.select(id_position(F.col("row")).alias("pos")))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = with_hit(docs.select("doc_id", F.col("text").cast("binary").alias("text"), key.alias("_key")), F.col("_key"), bitmap)
-    lists = marks.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
+    rows = with_hit(docs.select("doc_id", F.col("text").cast("binary").alias("text"), key.alias("_key"), row_key().alias("_row")), F.col("_row"), bitmap)
+    # a set: rows that repeat id and text repeat their marks
+    lists = marks.groupBy(F.col("doc_id").alias("_key"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
     kind = "array<struct<start:bigint,stop:bigint>>"
-    touched = rows.where(F.col(HIT)).join(lists, "_key", "left").select("doc_id", "text", F.col("marks").cast(kind))
+    touched = rows.where(F.col(HIT)).join(lists, ["_key", "_row"], "left").select("doc_id", "text", F.col("marks").cast(kind))
     others = rows.where(~F.col(HIT)).select("doc_id", "text", F.lit(None).cast(kind).alias("marks"))
     names = [c.split()[0] for c in schema.split(", ")]
 

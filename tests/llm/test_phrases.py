@@ -66,3 +66,12 @@ def test_edge_rows(spark):
 def test_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert rows_of(phrases.query(spark, "/root/testdata/sf0.001")) == slow(rows, 35)
+
+
+def test_null_and_repeated_ids_of_different_texts(spark):
+    say = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, say("p", 40)), (None, say("a", 100) + " " + say("p", 40)), (None, "abc"), (None, say("b", 150)), (5, say("c", 60) + " " + say("p", 40)), (5, "de"), (5, say("d", 120))]
+    got = sorted((str(i), *x) for i, *x in map(tuple, phrases.phrase_dedup(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()))
+    stand_in = [(0 if i is None else i, t) for i, t in rows]
+    assert got == sorted((str(i or None), *x) for i, *x in slow(stand_in, 35))
+    assert sorted(x[2] for x in got) == [0] * 4 + [40] * 3

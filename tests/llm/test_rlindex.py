@@ -91,3 +91,13 @@ def test_edge_rows(spark):
 def test_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert rows_of(rlindex.query(spark, "/root/testdata/sf0.001")) == slow(rows, 50)
+
+
+def test_null_and_repeated_ids_of_different_texts(spark):
+    passage = "the same passage of text that is over fifty bytes long, in four rows"
+    own = "".join(chr(97 + i * i % 23) for i in range(600))
+    rows = [(1, passage), (None, "x" * 40 + own[:460] + passage), (None, "abc"), (None, passage), (5, own[100:140] + passage), (5, "de"), (5, own[:90] + "!" + own[100:400] * 2)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in rlindex.suffix_dedup(spark.createDataFrame(rows, DOCS)).collect())
+    stand_in = [((1 << 63) - 1 if i is None else i, t) for i, t in rows]
+    want = sorted(("None" if i == (1 << 63) - 1 else str(i), n, g, h) for i, n, g, _, h in slow(stand_in, 50))
+    assert got == want and {g for _, _, g, _ in got} > {0, len(passage)}
