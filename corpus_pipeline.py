@@ -27,7 +27,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each SimHash component."""
+    """The document of the smallest doc_id of each SimHash component, by op1's contract (3-word shingles, 3 bits); for its recall see README."""
     common.ship(spark)
     return common.without(docs, simhash.simhash_dedup(docs).where(F.col("doc_id") != F.col("component_id")))
 
