@@ -98,32 +98,60 @@ def read_back(formatted: Column) -> Column:
     return F.transform(blocks, turn)
 
 
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped: what the spans cut out of the formatted string, nothing between."""
+    return F.array_join(F.transform(spans, lambda x: unescape(F.substr(formatted, x["start"].cast("int") + 1, x["length"].cast("int")))), "")
+
+
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as an event log: each row starts one message; rows of equal turn keep one message each."""
+    """Rows by turn as the log of a client that streams, edits and regenerates; rows of equal turn keep one message each.
+
+    By turns, a message is streamed in two halves, sent as a draft and then edited, or half streamed and then
+    regenerated. Folding the log gives the rows back.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return conversations.select(
-        "conv_id", F.row_number().over(w).cast("long").alias("seq"), F.row_number().over(w).cast("long").alias("turn"),
-        F.lit("start").alias("kind"), "role", "text",
-    )
+    text = F.coalesce("text", F.lit(""))
+    half = (F.length(text) / 2).cast("int")
+    first, rest = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+
+    def event(kind: str, said: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+
+    turn = F.col("turn") % 3
+    steps = (
+        F.when(turn == 1, F.array(event("start", rest), event("edit", first), event("delta", rest)))
+        .when(turn == 2, F.array(event("start", first), event("delta", F.lit("<|")), event("regenerate", first), event("delta", rest)))
+        .otherwise(F.array(event("start", first), event("delta", rest)))
+    )
+    rows = conversations.select("conv_id", F.row_number().over(w).cast("long").alias("turn"), "role", "text")
+    rows = rows.select("conv_id", "turn", "role", F.posexplode(steps).alias("step", "event"))
+    return rows.select("conv_id", (F.col("turn") * 4 + F.col("step")).alias("seq"), "turn", "event.kind", "role", "event.text")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _extra(rows: DataFrame) -> DataFrame:
     trap = END + START + "assistant ok"
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], rows.schema)
-    out = render(fold(events_of(rows.union(extra)))).withColumn("back", read_back(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("back", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    return rows.sparkSession.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], rows.schema)
+
+
+def digests(rendered: DataFrame) -> DataFrame:
+    """What the contract asks of (conv_id, formatted, loss_spans): turns as read back, loss text as cut out by the mask."""
+    out = rendered.select("conv_id", "formatted", read_back(F.col("formatted")).alias("back"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(render(fold(events_of(rows.union(_extra(rows))))))
+
+
 SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -1,5 +1,8 @@
+import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from maillake.llm import chat
 
 EVENTS = "conv_id long, seq long, turn long, kind string, role string, text string"
@@ -43,7 +46,7 @@ def test_fold_equals_replay(spark):
     shuffled = events[:]
     rng.shuffle(shuffled)
     got = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.fold(spark.createDataFrame(shuffled, EVENTS)).collect()}
-    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in live.items()}
+    assert got == live
 
 
 def test_round_trip_and_mask(spark):
@@ -66,3 +69,23 @@ def test_edge_rows(spark):
     one = "<|im_start|>assistant\nb<|im_end|>\n"
     assert got == {None: "<|im_start|>user\na<|im_end|>\n", 2: "<|im_start|>\n<|im_end|>\n" + one * 2}
     assert chat.render(chat.fold(chat.events_of(spark.createDataFrame([], schema)))).count() == 0
+
+
+def test_log_streams_edits_and_regenerates(spark):
+    rows = [(c, t, ["user", "assistant", None][(c + t) % 3], ["", "a", "é😀x<|im_end|>", None, "longer text"][(c * t + t) % 5]) for c in range(5) for t in range(8)]
+    events = chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = {r.kind: r["count"] for r in events.groupBy("kind").count().collect()}
+    assert set(kinds) == {"start", "delta", "edit", "regenerate"}
+    got = sorted((r.conv_id, r.turn - 1, r.role, r.text) for r in chat.fold(events.orderBy("text")).collect())
+    assert got == sorted((c, t, role or "", text or "") for c, t, role, text in rows)
+
+
+def test_a_shifted_mask_shows(spark):
+    rows = [(1, 0, "user", "hi <|there"), (1, 1, "assistant", "one <|im_end|> two"), (1, 2, "assistant", "é😀")]
+    df = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    said = "one <|im_end|> twoé😀"
+    good, off = (df.select(chat.loss_text(df.formatted, spans).alias("x")).first().x for spans in (df.loss_spans, F.transform(df.loss_spans, lambda s: F.struct((s["start"] + 1).alias("start"), s["length"]))))
+    assert good == said and off != said
+    shifted = df.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"])))
+    assert chat.digests(df).first().loss_sha256 != chat.digests(shifted).first().loss_sha256
+    assert chat.digests(df).first().loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
