@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maillake.llm.common import components, cut, table
+from maillake.llm.common import ROW, TWIN, components, cut, lean, row_key, slices, table, with_group, without
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 _BLOCK = 1 << 15
@@ -56,10 +56,9 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            b = batch.slice(at, 512)
-            fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        for b in slices(batch):
+            fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", ROW, "fp"])
 
 
 def anchors(halves: np.ndarray) -> np.ndarray:
@@ -96,31 +95,49 @@ def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, ROW (row_key()), fp (the 64 bits as a long) of docs (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("binary"))
+    return rows.mapInArrow(lean(_fingerprints), f"doc_id long, {ROW} long, fp long")
 
 
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links between distinct fingerprints (fp, rep): a, b are representatives, every pair once."""
     if distance > 3:
         raise ValueError("two halves cover at most 3 differing bits")
-    spread = prints.select("fp", "rep").mapInArrow(_replicas, "anchor long, fp long, rep long, home boolean")
+    spread = prints.select("fp", "rep").mapInArrow(lean(_replicas), "anchor long, fp long, rep long, home boolean")
     x = spread.where("home").select("anchor", F.col("fp").alias("x"), F.col("rep").alias("a"))
     y = spread.select("anchor", F.col("fp").alias("y"), F.col("rep").alias("b"))
     test = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)
     return x.join(y, "anchor").where(test).select("a", "b").distinct()
 
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, ROW, fp, component_id, stays: whether the row is the one of its component that stays."""
+    prints = cut(fingerprints(docs))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(ROW).alias("row")))  # null ids come last
+    distinct = cut(prints.groupBy("fp").agg(least.alias("best"), F.count("*").alias("n")))
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep")))).toDF("node", "label")
+    own = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.col("n").alias("rows"), "best", "label")
+    linked = own.where("label is not null")
+    chosen = linked.groupBy("label").agg(F.count("*").alias("n"), F.min("best").alias("chosen"))
+    alone = own.where("label is null").select("fp", F.col("rows").alias("n"), F.col("best").alias("chosen"))
+    classes = with_group(linked, chosen, "label", distinct.count()).select("fp", F.col("rows").alias("n"), "chosen").union(alone)
+    rows = with_group(prints, classes, "fp", prints.count())
+    stays = (F.col(ROW) == F.col("chosen.row")) & F.col("doc_id").eqNullSafe(F.col("chosen.doc_id"))
+    return rows.select("doc_id", ROW, "fp", F.col("chosen.doc_id").alias("component_id"), stays.alias("stays"))
+
+
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id."""
-    prints = cut(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(links(distinct))
-    classes = distinct.join(found, distinct["rep"] == found["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return _classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, all columns kept: of each component the smallest doc_id (null last), one row of it."""
+    rows = _classes(docs)
+    twins = rows.where("stays").groupBy("doc_id", ROW).agg((F.count("*") > 1).alias(TWIN)).where(TWIN)
+    gone = rows.where("not stays").select("doc_id", ROW, F.lit(False).alias(TWIN)).distinct()
+    return without(docs, gone.union(twins))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

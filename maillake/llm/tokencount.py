@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from maillake.llm.common import cut, shared_dir, table
+from maillake.llm.common import cut, lean, shared_dir, slices, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,8 +63,7 @@ def write_tokens(docs: DataFrame, folder: str, ranks_path: str = RANKS) -> DataF
         ordinal = 0
         with fs.open_output_stream(path) as out:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    b = batch.slice(at, 256)
+                for b in slices(batch, 256):
                     ids: list[int] = []
                     for t in b.column(1).to_pylist():
                         ids += encode((t or b"").decode("utf-8", "replace"))
@@ -78,7 +77,7 @@ def write_tokens(docs: DataFrame, folder: str, ranks_path: str = RANKS) -> DataF
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary"))
-    return cut(rows.mapInArrow(run, f"doc_id {kind}, file string, ordinal long"))
+    return cut(rows.mapInArrow(lean(run), f"doc_id {kind}, file string, ordinal long"))
 
 
 def _blocks(block: int):

@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from maillake.llm.common import HIT, id_bitmap, id_position, shared_dir, stored, with_hit
+from maillake.llm.common import HIT, bits_for, id_bitmap, id_position, lean, row_key, shared_dir, slices, stored, with_hit
 
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: after all others
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -161,16 +161,11 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def row_key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")).alias("row")
-
-
 def _blocks(units: Units, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, int, bytes]]]:
     """Texts (doc_id, row, place, part) in blocks of bounded size."""
     block, size = [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in slices(batch, 256):
             for i, r, t in zip(*(part.column(k).to_pylist() for k in range(3))):
                 for piece in units.pieces(NO_ID if i is None else i, r, t or b""):
                     block.append(piece)
@@ -200,7 +195,7 @@ def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, row, text of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("binary"))
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("binary"))
 
 
 def _recurring(docs: DataFrame, units: Units, shards: int, folder: str) -> None:
@@ -239,7 +234,7 @@ def _recurring(docs: DataFrame, units: Units, shards: int, folder: str) -> None:
         store.move(part, f"{root}/{name}")
         return pa.table({"n": pa.array([len(rows)], pa.int64())})
 
-    asked = _rows(docs).mapInArrow(ask, "shard int, block string, keys binary")
+    asked = _rows(docs).mapInArrow(lean(ask), "shard int, block string, keys binary")
     answered = asked.groupBy("shard").applyInArrow(answer, "block string, shard int, bits binary")
     answered.groupBy("block").applyInArrow(keep, "n bigint").agg(F.sum("n")).collect()
 
@@ -298,7 +293,7 @@ def spread(docs: DataFrame, units: Units, shards: int) -> DataFrame:
         for block in _blocks(units, batches):
             yield emit(block, press)
 
-    return _rows(docs).mapInArrow(run, "shard int, blob binary")
+    return _rows(docs).mapInArrow(lean(run), "shard int, blob binary")
 
 
 class Shard:
@@ -350,9 +345,10 @@ def shards_for(docs: DataFrame, size: int) -> int:
 def finish(docs: DataFrame, marks: DataFrame, work: Callable[[bytes, list], tuple], schema: str) -> DataFrame:
     """Apply work(text, marks) to each doc; only the texts that have marks are moved to meet them."""
     marks = stored(marks)
-    bitmap = id_bitmap(marks.select(id_position(F.col("row")).alias("pos")))
+    bits = bits_for(marks.count())
+    bitmap = id_bitmap(marks.select(id_position(F.col("row"), bits).alias("pos")))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = with_hit(docs.select("doc_id", F.col("text").cast("binary").alias("text"), key.alias("_key"), row_key().alias("_row")), F.col("_row"), bitmap)
+    rows = with_hit(docs.select("doc_id", F.col("text").cast("binary").alias("text"), key.alias("_key"), row_key().alias("_row")), F.col("_row"), bitmap, bits)
     # a set: rows that repeat id and text repeat their marks
     lists = marks.groupBy(F.col("doc_id").alias("_key"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
     kind = "array<struct<start:bigint,stop:bigint>>"
@@ -362,8 +358,7 @@ def finish(docs: DataFrame, marks: DataFrame, work: Callable[[bytes, list], tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for b in slices(batch, 256):
                 lists = b.column(2)
                 flat = np.stack([lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1) if len(lists.flatten()) else np.zeros((0, 2), np.int64)
                 size = np.array([0 if v is None else v for v in pa.compute.list_value_length(lists).to_pylist()])
@@ -375,7 +370,7 @@ def finish(docs: DataFrame, marks: DataFrame, work: Callable[[bytes, list], tupl
     import pyarrow.compute  # noqa: F401  (pa.compute)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = [x.mapInArrow(run, f"doc_id {kind}, {schema}") for x in (touched, others)]
+    parts = [x.mapInArrow(lean(run), f"doc_id {kind}, {schema}") for x in (touched, others)]
     return parts[0].union(parts[1])
 
 
