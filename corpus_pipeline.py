@@ -10,7 +10,7 @@ returns doc_id, n_tokens and ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from maillake.llm import common, exact, langid, mixing, pieces, simhash
 
@@ -23,13 +23,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest document, then of the smallest doc_id, of equal ones."""
-    return common.without(docs, exact.exact_dedup(docs).where("not kept"))
+    return exact.survivors(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each SimHash component, by op1's contract (3-word shingles, 3 bits); for its recall see README."""
     common.ship(spark)
-    return common.without(docs, simhash.simhash_dedup(docs).where(F.col("doc_id") != F.col("component_id")))
+    return simhash.survivors(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
