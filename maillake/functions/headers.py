@@ -31,10 +31,10 @@ def message_key(head: Column) -> Column:
 
 
 def labels_value(head: Column) -> Column:
-    """The first labels header with its folds, as text; null without one."""
+    """The first labels header with its folds, as text, bytes that are no UTF-8 replaced; null without one."""
     pattern = r"(?imd)^x-gmail-labels:[ \t]*([^\n]*(?:\n[\t ][^\n]*)*)"
     found = F.regexp_extract(head, pattern, 1)
-    return F.when(head.rlike(pattern), F.decode(F.encode(found, "ISO-8859-1"), "UTF-8"))
+    return F.when(head.rlike(pattern), F.make_valid_utf8(F.encode(found, "ISO-8859-1").cast("string")))
 
 
 def labels(value: Column) -> Column:

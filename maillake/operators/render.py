@@ -9,8 +9,11 @@ def scalar(v: Column) -> Column:
     """A string as JSON, which YAML reads too; null for null. Control characters have lower-case digits."""
     j = F.to_json(F.array(v))
     j = F.substring(j, F.lit(2), F.length(j) - 2)
+    low = j
     for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20), 0x7F):
-        j = F.replace(j, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
+        # an escape follows an even number of backslashes; after an odd one the text itself has these characters
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    j = F.when(j.contains("\\u00"), low).otherwise(j)
     return F.coalesce(F.when(v.isNull(), "null").otherwise(j), F.lit("null"))
 
 
