@@ -18,6 +18,43 @@ from maillake.functions.text import html_to_md, squeeze_lines, strip_quotes
 from maillake.options import ConvertOptions
 from maillake.schemas import PARSED
 
+class _Policy(policy.EmailPolicy):
+    """The default policy, but a header that was parsed before, in this message or another, isn't parsed again.
+
+    The standard library parses a header at every look-up. Plain unstructured ones need no parser at all.
+    """
+
+    _known: dict = {}
+    _PLAIN = re.compile(r"[ -~\t]*")
+    _PLAIN_ID = re.compile(r"<[A-Za-z0-9_+-]+(\.[A-Za-z0-9_+-]+)*@[A-Za-z0-9_+-]+(\.[A-Za-z0-9_+-]+)*>")
+
+    def header_fetch_parse(self, name, value):
+        if hasattr(value, "name"):
+            return value
+        key = name, value
+        found = self._known.get(key)
+        if found is None:
+            found = super().header_fetch_parse(name, value)
+            if len(self._known) >= 2048:
+                self._known.clear()
+            if len(value) <= 1000:
+                self._known[key] = found
+        return found
+
+    def plain(self, mail: Message, name: str) -> str:
+        """The text of an unstructured header, a date or a message id, empty without one."""
+        whole = self._PLAIN_ID if name == "message-id" else self._PLAIN
+        for k, v in mail._headers:
+            if k.lower() == name and isinstance(v, str):
+                flat = "".join(v.splitlines()) if "\n" in v or "\r" in v else v
+                if "=?" not in flat and whole.fullmatch(flat):
+                    return flat
+                break
+        return str(mail[name] or "")
+
+
+POLICY = _Policy()
+
 _MID = re.compile(rb"^message-id:\s*(<[^>]{1,}>)", re.M | re.I)
 
 
@@ -140,15 +177,15 @@ def sender_of(mail: EmailMessage) -> str:
 
 def date_of(mail: EmailMessage) -> datetime | None:
     try:
-        return utils.parsedate_to_datetime(str(mail["Date"]))
+        return utils.parsedate_to_datetime(POLICY.plain(mail, "date"))
     except Exception:
         return None
 
 
 def parse(raw: bytes, options: ConvertOptions) -> tuple[str, dict | None]:
     """(status, message): ok, label or date."""
-    mail = message_from_bytes(raw, policy=policy.default)
-    labels = [clean(x) for x in filter(None, map(str.strip, _flat(str(mail["X-Gmail-Labels"] or "")).split(",")))]
+    mail = message_from_bytes(raw, policy=POLICY)
+    labels = [clean(x) for x in filter(None, map(str.strip, _flat(POLICY.plain(mail, "x-gmail-labels")).split(",")))]
     if not options.skip_labels.isdisjoint(labels):
         return "label", None
     when = date_of(mail)
@@ -156,11 +193,11 @@ def parse(raw: bytes, options: ConvertOptions) -> tuple[str, dict | None]:
         return "date", None
     body, kind, part = body_of(mail, options.max_html)
     here = options.local(when)
-    key, subject = hashlib.sha1(key_bytes(raw)).hexdigest(), str(mail["Subject"] or "")
+    key, subject = hashlib.sha1(key_bytes(raw)).hexdigest(), POLICY.plain(mail, "subject")
     return "ok", {
         "key": key,
         "path": relpath(here, subject, key),
-        "message_id": clean(str(mail["Message-ID"] or "").strip()),
+        "message_id": clean(POLICY.plain(mail, "message-id").strip()),
         "date_iso": when.isoformat() if when else None,
         "date_utc": (when if when.tzinfo else when.replace(tzinfo=timezone.utc)).astimezone(timezone.utc) if when else None,
         "offset_s": int(when.utcoffset().total_seconds()) if when and when.tzinfo else None,
@@ -170,7 +207,7 @@ def parse(raw: bytes, options: ConvertOptions) -> tuple[str, dict | None]:
         "cc": addresses(mail, "Cc"),
         "subject": clean(subject),
         "labels": labels,
-        "thread_id": clean(str(mail["X-GM-THRID"] or "")) or None,
+        "thread_id": clean(POLICY.plain(mail, "x-gm-thrid")) or None,
         "body": clean(strip_quotes(body) if options.strip_quotes else body),
         "body_kind": kind,
         "attachments": list(attachments_of(mail, part, options.min_inline_image)),

@@ -84,3 +84,52 @@ def test_options():
     assert ConvertOptions(since=date(2024, 1, 31), until=date(2024, 1, 31)).wants(west)
     assert not ConvertOptions(since=date(2024, 2, 1)).wants(west) and ConvertOptions(since=date(2024, 2, 1), tz="Asia/Tokyo").wants(west)
     assert not ConvertOptions(until=date(2030, 1, 1)).wants(None) and ConvertOptions().wants(None)
+
+
+def test_headers_are_read_as_the_default_policy_reads_them():
+    import random
+    from email import message_from_bytes, policy, utils
+
+    from maillake.functions import mime
+
+    rng = random.Random(11)
+    words = ["a", "Re:", "  b ", "\t", "<x@y.example>", "=?utf-8?q?caf=C3=A9?=", "é", "\n folded", "\r\n\tmore", "2024", "\x01", ",", '"q', "(c)", "Mon, 15 Jan 2024 09:30:00 +0000", ";", "\\"]
+    for _ in range(1500):
+        value = "".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randrange(6)))
+        for name in ("Subject", "X-Gmail-Labels", "X-GM-THRID", "Message-ID"):
+            raw = f"{name}: {value}\nTo: b@example.com\n\nbody".encode()
+            want = str(message_from_bytes(raw, policy=policy.default)[name] or "")
+            assert mime.POLICY.plain(message_from_bytes(raw, policy=mime.POLICY), name.lower()) == want, (name, value)
+        raw = f"Date: {value}\n\nbody".encode()
+        try:
+            want = utils.parsedate_to_datetime(str(message_from_bytes(raw, policy=policy.default)["Date"]))
+        except Exception:
+            want = None
+        assert mime.date_of(message_from_bytes(raw, policy=mime.POLICY)) == want, value
+
+
+def test_a_header_is_parsed_once(monkeypatch):
+    from email import policy
+
+    from maillake.functions import mime
+    from maillake.options import ConvertOptions
+
+    seen = []
+    real = policy.EmailPolicy.header_fetch_parse
+    monkeypatch.setattr(policy.EmailPolicy, "header_fetch_parse", lambda self, name, value: (seen.append((name, value)), real(self, name, value))[1])
+    mime.POLICY._known.clear()
+    raw = b"From: a@example.com\nTo: b@example.com\nSubject: x\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\nbody"
+    assert mime.parse(raw, ConvertOptions())[0] == "ok"
+    assert len(seen) == len(set(seen)) <= 5
+
+
+def test_json_keeps_text_that_looks_like_an_escape(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from maillake.operators import render
+
+    texts = ["a\\u000Bb", "\\\\u000B", "\x0b", "\\\x0b", "\x0b\x0b\\u001F\x1f", "\\\\\x1a\\u001A", "\x7f\\u007F", "plain", "", "é\"\\n\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(render.scalar(F.col("t")).alias("j")).collect()
+    assert [r.j for r in rows] == [json.dumps(t, ensure_ascii=False) for t in texts]
