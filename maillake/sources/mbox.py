@@ -1,14 +1,16 @@
 """Mailboxes as DataFrames, split in parallel by byte range.
 
-A range owns the separators that start in it and reads on to the next one. A first pass counts messages
-per range, a prefix sum over the ranges numbers them, and a second pass emits them with their ordinal, so
-no message is ever shuffled and a mailbox of any size is many tasks. Compressed mailboxes are one range.
+A range owns the separators that start in it and reads on to the next one. A first pass counts separators
+per range in the mapped file, copying nothing, a prefix sum over the ranges numbers them, and a second pass
+emits the messages with their ordinal, so no message is ever shuffled and a mailbox of any size is many
+tasks. Compressed mailboxes are one range, which is decoded as a stream.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import mmap
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -31,7 +33,7 @@ SUFFIX = {".zst": "zstd", ".gz": "gzip"}
 
 def unescape(raw: bytes) -> bytes:
     """Take one `>` off lines of `>`s and `From `."""
-    return QUOTED.sub(b"", raw)
+    return QUOTED.sub(b"", raw) if b">From " in raw else raw
 
 
 def compression_of(path: str | Path) -> str | None:
@@ -175,38 +177,95 @@ def messages_in(stream, first: int, stop: int | None) -> Iterator[tuple[int, byt
         w.data, w.base, open_at, scan = w.data[end:], w.base + end, 0, 0
 
 
+def separators(data, first: int = 0, stop: int | None = None) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the separators of bytes or a mapped file that start from place `first` on, before `stop` if given."""
+    stop = len(data) if stop is None else stop
+    at = first if first == 0 or data[first - 1 : first] == b"\n" else data.find(b"\nFrom ", first, stop + 5) + 1
+    while at or first == 0:
+        if at < stop and data[at : at + 5] == b"From ":
+            m = SEPARATOR.match(data, at)
+            if m and _blank_before(data, at, True, True):
+                yield m.span()
+        first, at = 1, data.find(b"\nFrom ", at, stop + 5) + 1
+
+
+def messages_of(data, first: int, stop: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the messages whose separator starts in [first, stop), what comes before the first one counting as one."""
+    if first and next(separators(data, first, stop), None) is None:
+        return  # so a range inside one huge message isn't read beyond its end
+    open_at = 0 if first == 0 else None
+    for begin, end in separators(data, first):
+        if open_at is not None and (open_at or begin):
+            yield open_at, begin
+        if begin >= stop:
+            return
+        open_at = end
+    if open_at is not None and open_at < len(data):
+        yield open_at, len(data)
+
+
+def _mapped(path: str):
+    with open(path, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
 def split(data: bytes) -> list[bytes]:
     """All messages of a mailbox held in memory."""
     return [raw for _, raw in messages_in(io.BytesIO(data), 0, None)]
 
 
-def _scan(kind_of: dict[str, str | None], unescape_from: bool, count: bool):
+def _raws(path: str, kind: str | None, first: int, stop: int) -> Iterator[bytes]:
+    if kind:
+        with open_plain(path, kind) as f:
+            yield from (raw for _, raw in messages_in(f, 0, None))
+        return
+    with _mapped(path) as data:
+        for begin, end in messages_of(data, first, stop):
+            yield data[begin:end]
+
+
+def _scan(unescape_from: bool, kinds: dict[str, str | None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                stop = None if r["stop"] < 0 else r["stop"]
-                with open_plain(r["path"], kind_of[r["path"]]) as f:
-                    if count:
-                        n = sum(1 for _ in messages_in(f, r["start"], stop))
-                        yield pa.RecordBatch.from_pylist([r | {"n": n}])
-                        continue
-                    rows: list[tuple[int, bytes]] = []
-                    size, ordinal = 0, r["before"]
-                    for _, raw in messages_in(f, r["start"], stop):
-                        ordinal += 1
-                        if r["most"] >= 0 and ordinal > r["most"]:
-                            break
-                        rows.append((ordinal, unescape(raw) if unescape_from else raw))
-                        size += len(raw)
-                        if size >= 4 << 20 or len(rows) >= 256:
-                            yield _batch(r["path"], rows)
-                            rows, size = [], 0
-                    if rows:
+                rows: list[tuple[int, bytes]] = []
+                size, ordinal = 0, r["before"]
+                if 0 <= r["most"] <= ordinal:
+                    continue
+                for raw in _raws(r["path"], kinds[r["path"]], r["start"], r["stop"]):
+                    ordinal += 1
+                    rows.append((ordinal, unescape(raw) if unescape_from else raw))
+                    size += len(raw)
+                    if size >= 4 << 20 or len(rows) >= 4096:
                         yield _batch(r["path"], rows)
+                        rows, size = [], 0
+                    if ordinal == r["most"]:
+                        break
+                if rows:
+                    yield _batch(r["path"], rows)
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            with _mapped(r["path"]) as data:
+                yield pa.RecordBatch.from_pylist([r | {"n": sum(1 for _ in messages_of(data, r["start"], r["stop"]))}])
+
+
+def bytes_read(spark: SparkSession, path: str | Path, limit: int | None) -> int:
+    """How many bytes of a mailbox its first `limit` messages take, all of it without a limit."""
+    size, kind = check(path)
+    if not limit or kind or not size:
+        return size
+    with _mapped(str(path)) as data:
+        for n, (_, end) in enumerate(messages_of(data, 0, size), 1):
+            if n == limit:
+                return end
+    return size
+
+
 def _batch(path: str, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     ordinals, raws = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(ordinals, pa.int64()), pa.array(raws, pa.binary())], ["file", "ordinal", "raw"])
@@ -225,17 +284,17 @@ def read_mbox(spark: SparkSession, path, *, unescape_from: bool = True, limit: i
         if kinds[p]:
             ranges.append((p, 0, -1))
         else:
-            ranges += [(p, at, at + split_bytes) for at in range(0, size, split_bytes)]
-    schema = "path string, start bigint, stop bigint"
+            ranges += [(p, at, at + split_bytes) for at in range(0, size, split_bytes)]  # an empty file has none
     if not ranges:
         return spark.createDataFrame([], MESSAGES)
-    plan = spark.createDataFrame(ranges, schema).repartition(len(ranges), "path", "start")
-    most = limit if limit else -1
-    if len(ranges) == len(paths):  # nothing to number across ranges
-        ready = plan.select("*", F.lit(0).cast("long").alias("before"), F.lit(most).cast("long").alias("most"))
-    else:
+    # a range a task: rows of one partition are dealt out in turn
+    plan = spark.createDataFrame(ranges, "path string, start bigint, stop bigint").coalesce(1).repartition(len(ranges))
+    before = F.lit(0).cast("long")
+    if len(ranges) > len(paths):  # numbers run on from range to range
         w = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-        counted = plan.mapInArrow(_scan(kinds, False, True), schema + ", n bigint")
-        ready = counted.select("path", "start", "stop", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.lit(most).cast("long").alias("most"))
-        ready = ready.repartition(len(ranges), "path", "start")
-    return ready.mapInArrow(_scan(kinds, unescape_from, False), MESSAGES)
+        counted = plan.where("stop > 0").mapInArrow(_counted, "path string, start bigint, stop bigint, n bigint")
+        numbered = counted.withColumn("before", F.coalesce(F.sum("n").over(w), before)).drop("n")
+        plan = numbered.unionByName(plan.where("stop < 0").withColumn("before", before)).coalesce(1).repartition(len(ranges))
+    else:
+        plan = plan.withColumn("before", before)
+    return plan.withColumn("most", F.lit(limit or -1).cast("long")).mapInArrow(_scan(unescape_from, kinds), MESSAGES)

@@ -36,6 +36,7 @@ def test_splitting_equals_the_rule_whatever_the_ranges(monkeypatch):
         step = rng.randrange(1, 60)
         got = [raw for a in range(0, len(data), step) for _, raw in mbox.messages_in(io.BytesIO(data), a, a + step)]
         assert got == want
+        assert [data[b:e] for a in range(0, len(data), step) for b, e in mbox.messages_of(data, a, a + step)] == want
 
 
 @pytest.mark.parametrize("name", fx.ALL)
