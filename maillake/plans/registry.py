@@ -285,14 +285,14 @@ def q30_manifest_last_wins(spark, d):
 _SLUG = r"""coalesce(nullif(trim(substr(trim(regexp_replace(lower(regexp_replace(strip_accents(regexp_replace({0}, '(?i)^\s*((aw|fwd|fw|re|wg)\s*:\s*)+', '')), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'no-subject')"""
 
 
-@query(f"SELECT doc_id, {_SLUG.format("split_part(coalesce(text, ''), chr(10), 1)")} AS slug FROM documents")
+@query(f"SELECT doc_id, {_SLUG.format("coalesce(text, '')")} AS slug FROM documents")
 def q31_slugify(spark, d):
-    return V.read(spark, d, "documents").select("doc_id", V.slug(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).alias("slug"))
+    return V.read(spark, d, "documents").select("doc_id", V.slug(F.coalesce("text", F.lit(""))).alias("slug"))
 
 
-@query(r"""SELECT doc_id, coalesce(nullif(trim(regexp_replace(substr(coalesce(text, ''), 1, 80), '[\x00-\x1f/\\]', '_', 'g')), ''), 'attachment') AS name FROM documents""")
+@query(r"""SELECT doc_id, coalesce(nullif(trim(regexp_replace(coalesce(text, ''), '[\x00-\x1f/\\]', '_', 'g')), ''), 'attachment') AS name FROM documents""")
 def q32_safe_name(spark, d):
-    return V.read(spark, d, "documents").select("doc_id", files.safe_name_col(F.substring("text", 1, 80)).alias("name"))
+    return V.read(spark, d, "documents").select("doc_id", files.safe_name_col(F.col("text")).alias("name"))
 
 
 _PATH = f"strftime(local_ts, '%Y/%m/%Y-%m-%d-%H%M-') || {_SLUG.format('subject')} || '-' || substr(key, 1, 4) || '.md'"
@@ -383,7 +383,8 @@ def q41_tidy_whitespace(spark, d):
 
 def _parsed(spark, d, charset=None, **options):
     m = V.mail(spark, d).select("*", V.raw_mail(F.lit("utf-8") if charset is None else charset).cast("binary").alias("raw"))
-    return parse_messages(m.select(F.lit("mail").alias("file"), "ordinal", "raw"), ConvertOptions(**options), keep_data=False)
+    rows = m.select(F.lit("mail").alias("file"), "ordinal", "raw").repartition(spark.sparkContext.defaultParallelism * 2)  # the table is a few large splits
+    return parse_messages(rows, ConvertOptions(**options), keep_data=False)
 
 
 @query(mails(r"""SELECT ordinal, key, subject, array_to_string(labels, '|') AS labels, message_id, 'Alice <alice@example.com>' AS sender,
@@ -397,7 +398,7 @@ def q42_mime_roundtrip(spark, d):
 @query("""SELECT doc_id, 'doc-' || doc_id || '.txt' AS name, substr(sha256(text), 1, 20) AS hash, strlen(text)::BIGINT AS size, '.txt' AS ext
 FROM documents WHERE strlen(text) > 0""")
 def q43_mime_attachments(spark, d):
-    docs = V.read(spark, d, "documents")
+    docs = V.read(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism * 2)
     cut = "\n--b\n"
     raw = F.concat(
         F.lit("Subject: x\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b\n" + cut + "Content-Type: text/plain\n\nbody" + cut),
@@ -417,10 +418,9 @@ def q44_status_split(spark, d):
 
 @query("SELECT user_id, event_type FROM events GROUP BY ALL")
 def q45_stream_dedup(spark, d):
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maillake-stream-")
+    base = V.scratch(spark)
     out = f"{base}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(V.read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     fresh = events.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
@@ -443,3 +443,6 @@ def q46_dry_run_equals_real(spark, d):
         _count(F.col("status") == "ok").alias("ok"), _count(F.col("status") == "date").alias("out_of_range"),
     )
     return t.withColumn("processed", F.col("skipped") + F.col("ok") + F.col("out_of_range"))
+
+
+from maillake.plans import evidence  # noqa: E402, F401  (adds its queries)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maillake.functions import files, headers
@@ -16,6 +18,16 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one with a local master only."""
+    import tempfile
+
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named.removeprefix("file://") if named else tempfile.mkdtemp(prefix="maillake-")
+
+
 def pick(values: tuple, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int") + 1)
 
@@ -91,13 +103,13 @@ att AS (SELECT *, substr(sha256(data), 1, 20) AS hash, strlen(data)::BIGINT AS s
 
 
 def runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Paths of an earlier run and of the current one."""
+    """Paths of an earlier run and of the current one, whose days overlap; every event is in one of them."""
     e = read(spark, d, "events").select("event_id", F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd"), "user_id").alias("path"), "ts")
-    return e.where("ts < timestamp_ntz '2024-01-16 00:00:00'"), e.where("event_id % 4 <> 0")
+    return e.where("ts < timestamp_ntz '2024-01-16 00:00:00'"), e.where("ts >= timestamp_ntz '2024-01-10 00:00:00'")
 
 
 RUNS = r"""e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') || '/' || user_id AS path, ts FROM events),
-prev AS (SELECT * FROM e WHERE ts < TIMESTAMP '2024-01-16'), cur AS (SELECT * FROM e WHERE event_id % 4 <> 0)"""
+prev AS (SELECT * FROM e WHERE ts < TIMESTAMP '2024-01-16'), cur AS (SELECT * FROM e WHERE ts >= TIMESTAMP '2024-01-10')"""
 
 
 def slug(subject) -> Column:
