@@ -2,13 +2,15 @@
 
 Vectors are scaled to length one and turned into the basis of their principal directions, largest
 first. A pair's product over the leading dimensions plus the product of the two norms over the rest
-bounds its cosine from above; pairs that cannot reach the threshold stop there, the others go on a
-block of dimensions at a time. The last word has the full product in double precision.
+bounds its cosine from above. A block of pairs goes on, a few dimensions at a time, with the rows and
+columns that still have a pair within reach, and stops when it has none. The cosine of the vectors as
+they came, in double precision, has the last word on pairs that the turned ones leave near the threshold.
 
 Vectors are cut into tiles along the first principal coordinate. Tiles further apart there than linked
 vectors can be are never paired; a bucket that holds too many rows is split by hash, so a task holds two
 tiles of bounded size. A tile pair returns link counts by row and a spanning forest of its links, so a
-dense group never leaves as all its pairs. Equal vectors are collapsed before anything is compared.
+dense group never leaves as all its pairs. Equal vectors are collapsed before anything is compared, and
+rows find their class by a 128-bit hash, so that no vector is moved for it.
 
 Fitting the basis and the tile edges reads at most `SAMPLE` vectors, those of least hash; it decides speed
 alone. Every pair of tiles in reach is compared, so recall is 1; where the first coordinate doesn't tell
@@ -27,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maillake.llm.common import components, cut, table
+from maillake.llm.common import components, cut, lean, table, with_group
 
-THRESHOLD, TILE, SAMPLE, LEAD, ROWS = 0.95, 6144, 4096, 16, 1024
+THRESHOLD, TILE, SAMPLE, LEAD, ROWS, NEAR = 0.95, 12288, 4096, 16, 1024, 1e-9
 
 
 def _usable():
@@ -78,57 +80,64 @@ class Forest:
                 root[:] = root[root]
 
 
-def linked(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of linked pairs of turned unit vectors, x with y, or x with itself, each pair once."""
+def _close(part: np.ndarray, x: np.ndarray, y: np.ndarray, tails: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a block that the bound never ruled out, and their products; part marks those that it may hold."""
+    rows, cols = np.arange(len(x)), np.arange(len(y))
+    got, done = np.zeros(part.shape), 0
+    for k, tx, ty in tails:
+        i, j = np.flatnonzero(part.any(1)), np.flatnonzero(part.any(0))
+        if not len(i):
+            break
+        if len(i) < len(rows) or len(j) < len(cols):
+            rows, cols, got, part = rows[i], cols[j], got[np.ix_(i, j)], part[np.ix_(i, j)]
+        got += x[rows, done:k] @ y[cols, done:k].T
+        done = k
+        part = part & (got + (np.outer(tx[rows], ty[cols]) + NEAR) >= threshold)
+    i, j = np.nonzero(part)
+    return rows[i], cols[j], got[i, j]
+
+
+def linked(x: np.ndarray, y: np.ndarray | None, turn: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of linked pairs of unit vectors, x with y, or x with itself, each pair once."""
     own = y is None
     y = x if own else y
     d = x.shape[1]
+    u, v = x @ turn, y @ turn
     steps = [*range(LEAD, d, LEAD), d]
-    tails = {k: (np.sqrt((x[:, k:] ** 2).sum(1)), np.sqrt((y[:, k:] ** 2).sum(1))) for k in steps}
-    k = steps[0]
-    right = np.hstack([y[:, :k], tails[k][1][:, None]]).astype(np.float32).T.copy()
-    left = np.hstack([x[:, :k], tails[k][0][:, None]]).astype(np.float32)
-    for at in range(0, len(x), ROWS):
-        first = at + 1 if own else 0
-        part = left[at : at + ROWS] @ right[:, first:]
-        i, j = np.nonzero(part >= np.float32(threshold - 1e-5))
-        i += at
-        j += first
-        if own:
-            i, j = i[j > i], j[j > i]
-        if len(i) > part.size / 20:  # dense: a product of whole rows costs less than one by pair
-            full = x[at : at + ROWS] @ y.T
-            i, j = np.nonzero(full >= threshold)
-            i += at
-            if own:
-                i, j = i[j > i], j[j > i]
-            yield i, j
-            continue
-        for b in range(0, len(i), 1 << 18):
-            p, q = i[b : b + (1 << 18)], j[b : b + (1 << 18)]
-            got, done = np.zeros(len(p)), 0
-            for k in steps:
-                got += np.einsum("ij,ij->i", x[p, done:k], y[q, done:k])
-                done = k
-                alive = got + (tails[k][0][p] * tails[k][1][q] + 1e-12 if k < d else 0) >= threshold
-                p, q, got = p[alive], q[alive], got[alive]
-            yield p, q
-
-
-def _turned(t: pa.Table, width: int, turn: np.ndarray) -> np.ndarray:
-    return _unit(_matrix(t.column("embedding"), width)) @ turn
+    tails = [(k, np.sqrt((u[:, k:] ** 2).sum(1)), np.sqrt((v[:, k:] ** 2).sum(1))) for k in steps]
+    # the leading dimensions and the rest's norm in single precision first, with room for its rounding
+    k, tx, ty = tails[0]
+    left = np.hstack([u[:, :k], tx[:, None]]).astype(np.float32)
+    right = np.hstack([v[:, :k], ty[:, None]]).astype(np.float32).T.copy()
+    for at in range(0, len(u), ROWS):
+        for to in range(at if own else 0, len(v), ROWS):
+            part = left[at : at + ROWS] @ right[:, to : to + ROWS] >= np.float32(threshold - 1e-5)
+            if own and to == at:
+                part = np.triu(part, 1)
+            cut = [(k, p[at : at + ROWS], q[to : to + ROWS]) for k, p, q in tails]
+            i, j, got = _close(part, u[at : at + ROWS], v[to : to + ROWS], cut, threshold)
+            i, j = i + at, j + to
+            near = np.flatnonzero(np.abs(got - threshold) < 2 * NEAR)
+            for b in range(0, len(near), 1 << 16):
+                some = near[b : b + (1 << 16)]
+                got[some] = np.einsum("ij,ij->i", x[i[some]], y[j[some]])
+            good = got >= threshold
+            yield i[good], j[good]
 
 
 def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    good = rows.where(_usable())
-    kinds = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    hashed = F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"))
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", _usable().alias("good"))
+    good = rows.where("good").withColumn("key", hashed)
+    best = F.min(F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id")).alias("best")  # null ids come last
+    kinds = good.groupBy("key").agg(F.any_value("embedding").alias("embedding"), best, F.count("*").alias("n"))
+    kinds = cut(kinds.withColumn("rep", F.monotonically_increasing_id()))  # the written rows have these ids for good
     count, width = kinds.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not count:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = kinds.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").toArrow()
+        return vectors.select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    sample = kinds.orderBy("key").limit(SAMPLE).select("embedding").toArrow()
     unit = _unit(_matrix(sample.column(0), width))
     turn = basis(unit)
     buckets = -(-count // tile)
@@ -138,11 +147,11 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            b = np.searchsorted(edges, _turned(t, width, turn)[:, 0])
+            b = np.searchsorted(edges, _unit(_matrix(t.column("embedding"), width)) @ turn[:, 0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b.astype(np.int32))], ["embedding", "rep", "n", "bucket"])
 
     kind = kinds.schema["embedding"].dataType.simpleString()
-    placed = cut(kinds.mapInArrow(place, f"embedding {kind}, rep long, n long, bucket int"))
+    placed = cut(kinds.select("embedding", "rep", "n").mapInArrow(lean(place), f"embedding {kind}, rep long, n long, bucket int"))
     sizes = dict(placed.groupBy("bucket").agg(F.count("*")).collect())  # a row per tile
     split = np.array([-(-sizes.get(b, 0) // (2 * tile)) or 1 for b in range(buckets)])
     first = np.concatenate([[0], np.cumsum(split)])
@@ -172,7 +181,7 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
     def compare(t: pa.Table) -> pa.Table:
         side = t.column("right").to_numpy()
         own = not side.any() and t.column("pair")[0].as_py() % (tiles + 1) == 0
-        x = _turned(t, width, turn)
+        x = _unit(_matrix(t.column("embedding"), width))
         order = np.argsort(side, kind="stable")
         cutoff = int((~side).sum())
         ids = t.column("rep").to_numpy()[order]
@@ -180,25 +189,27 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
         x = x[order]
         links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
         a, b = (x, None) if own else (x[:cutoff], x[cutoff:])
-        for i, j in linked(a, b, threshold) if len(a) and (own or len(b)) else ():
+        for i, j in linked(a, b, turn, threshold) if len(a) and (own or len(b)) else ():
             j = j if own else j + cutoff
             links += np.bincount(i, n[j], len(ids)).astype(np.int64) + np.bincount(j, n[i], len(ids)).astype(np.int64)
             forest.add(i, j)
         hit = np.flatnonzero(links)
         return pa.table({"rep": pa.array(ids[hit], pa.int64()), "root": pa.array(ids[forest.root[hit]], pa.int64()), "links": pa.array(links[hit], pa.int64())})
 
-    pairs = placed.mapInArrow(spread, f"pair long, right boolean, embedding {kind}, rep long, n long")
+    pairs = placed.mapInArrow(lean(spread), f"pair long, right boolean, embedding {kind}, rep long, n long")
     found = cut(pairs.groupBy("pair").applyInArrow(compare, "rep long, root long, links long"))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = (
-        kinds.join(sums, "rep", "left")
-        .join(parts, F.col("rep") == F.col("node"), "left")
-        .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    )
-    out = rows.join(classes, "embedding", "left").select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
-    )
+    own = kinds.select("key", F.col("n").alias("rows"), "best", "rep").join(sums, "rep", "left").join(parts.toDF("rep", "label"), "rep", "left")
+    own = own.withColumn("links", F.coalesce("links", F.lit(0)) + F.col("rows") - 1)
+    many = own.where("label is not null")
+    chosen = many.groupBy("label").agg(F.count("*").alias("n"), F.min("best").alias("chosen"))
+    names = ["key", F.col("rows").alias("n"), "links", F.col("chosen.vec_id").alias("component")]
+    alone = own.where("label is null").withColumn("chosen", F.col("best")).select(names)
+    classes = with_group(many, chosen, "label", count).select(names).union(alone)
+    found = with_group(good.select("vec_id", "key"), classes, "key", good.count()).select("vec_id", "links", "component")
+    none = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
+    out = found.union(none).select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

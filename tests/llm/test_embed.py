@@ -69,3 +69,19 @@ def test_edge_rows(spark):
 def test_query_equals_brute_force(spark):
     r = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()
     assert rows_of(embed.query(spark, "/root/testdata/sf0.01")) == slow([x[0] for x in r], [x[1] for x in r])
+
+
+def test_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [0.0, 2.0]), (None, [1.0, 1.0]), (3, [1.0, 0.01]), (None, None)], VECS)
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embed.near_dedup(df).collect())
+    assert got == [("1", 1, "1", True), ("1", 1, "1", True), ("3", 1, "1", False), ("None", 0, "None", True), ("None", 0, "None", True), ("None", 1, "1", False)]
+
+
+def test_pairs_at_the_threshold_are_decided_by_the_vectors_as_they_came():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 40)).astype(np.float32).astype(float)
+    x = embed._unit(np.vstack([x, x + rng.normal(size=x.shape) * 0.3]))
+    threshold = float(np.sort((x @ x.T)[np.triu_indices(len(x), 1)])[-150])  # a pair lies on it
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(np.einsum("ik,jk->ij", x, x, optimize=False), 1) >= threshold))}
+    got = {(i, j) for a, b in embed.linked(x, None, embed.basis(x), threshold) for i, j in zip(a.tolist(), b.tolist())}
+    assert len(got) in (149, 150, 151) and {(int(a), int(b)) for a, b in want} - got <= {p for p in want if abs(x[p[0]] @ x[p[1]] - threshold) < 1e-15}
