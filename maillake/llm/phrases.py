@@ -20,9 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from maillake.llm.common import table
-from maillake.llm.windows import Shard, Units, by_shard, finish, mask, mixed, shards_for, spread
+from maillake.llm.windows import Shard, Units, by_gram, by_shard, finish, mask, mixed, shards_for, spread
 
-WINDOW, GRAM, BLOCK, SHARD = 35, 16, 4 << 20, 4 << 20
+WINDOW, GRAM, BLOCK, SHARD, INDEX = 35, 16, 4 << 20, 16 << 20, 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,14 +34,27 @@ def _window_hashes(values: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def locate(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks (index of the occurrence, start, stop in words) of the shard's recurring passages."""
-    nothing = (np.zeros(0, np.int64),) * 3
+def locate(shard: Shard, window: int, index: int = INDEX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks (index of the occurrence, start, stop in words) of the shard's recurring passages; an automaton holds about `index` bytes."""
+    out = [(np.zeros(0, np.int64),) * 3]
+    if not len(shard.which):
+        return out[0]
     times = np.bincount(shard.which, minlength=len(shard.texts))
-    live = np.bincount(shard.gram[shard.which], minlength=shard.gram.max() + 1 if len(shard.gram) else 0)[shard.gram] > 1
+    live = np.bincount(shard.gram[shard.which], minlength=shard.gram.max() + 1)[shard.gram] > 1
     chosen = np.flatnonzero(live)
-    if not len(chosen):
-        return nothing
+    by_text = np.argsort(shard.which, kind="stable")
+    edge = np.searchsorted(shard.which[by_text], np.arange(len(shard.texts) + 1))
+    size = np.array([len(shard.texts[i]) for i in chosen.tolist()], np.int64)
+    for part in by_gram(shard.gram[chosen], size, index):
+        mine = chosen[part]
+        occ = np.sort(np.concatenate([by_text[edge[i] : edge[i + 1]] for i in mine.tolist()]))
+        out.append(_marks(shard, mine, times, occ, window))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _marks(shard: Shard, chosen: np.ndarray, times: np.ndarray, occ: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of the occurrences `occ` of the segments `chosen`, from one automaton."""
+    nothing = (np.zeros(0, np.int64),) * 3
     numbers: dict[bytes, int] = {}
     words = [[numbers.setdefault(w, len(numbers)) for w in shard.texts[i].split(b" ")] for i in chosen.tolist()]
     flat = np.array([x for s in words for x in s], np.int64)
@@ -78,7 +91,6 @@ def locate(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     slot = np.full(len(shard.texts), -1)
     slot[chosen] = np.arange(len(chosen))
     local = slot[shard.which]
-    occ = np.flatnonzero(local >= 0)
     occ = occ[per[local[occ]] > 0]
     reps = per[local[occ]]
     base = (np.cumsum(per) - per)[local[occ]]

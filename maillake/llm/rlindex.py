@@ -21,9 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from maillake.llm.common import table
-from maillake.llm.windows import Shard, Units, by_shard, finish, mask, mixed, runs, shards_for, spread
+from maillake.llm.windows import Shard, Units, by_gram, by_shard, finish, mask, mixed, runs, shards_for, spread
 
-WINDOW, GRAM, BLOCK, SHARD = 50, 16, 2 << 20, 3 << 20
+WINDOW, GRAM, BLOCK, SHARD, INDEX = 50, 16, 2 << 20, 12 << 20, 3 << 20
 _PACK = 7  # symbols of 9 bits in one key
 
 
@@ -181,32 +181,39 @@ def _shared(texts: list[bytes], least: np.ndarray, most: np.ndarray, window: int
     return out
 
 
-def locate(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks (index of the occurrence, start, stop in bytes) of windows that a smaller doc_id has too."""
-    nothing = (np.zeros(0, np.int64),) * 3
+def locate(shard: Shard, window: int, index: int = INDEX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks (index of the occurrence, start, stop in bytes) of windows that a smaller doc_id has too; about `index` bytes are indexed at once."""
+    out = [(np.zeros(0, np.int64),) * 3]
     if not len(shard.which):
-        return nothing
+        return out[0]
     least = np.full(shard.gram.max() + 1, np.iinfo(np.int64).max)
     most = np.full(len(least), -1 << 62)
     np.minimum.at(least, shard.gram[shard.which], shard.doc)
     np.maximum.at(most, shard.gram[shard.which], shard.doc)
     chosen = np.flatnonzero((least < most)[shard.gram])
-    if not len(chosen):
-        return nothing
     own, top = np.full(len(shard.texts), np.iinfo(np.int64).max), np.full(len(shard.texts), -1 << 62)
     np.minimum.at(own, shard.which, shard.doc)
     np.maximum.at(top, shard.which, shard.doc)
-    texts = [shard.texts[i] for i in chosen.tolist()]
-    some = _shared(texts, own[chosen], top[chosen], window)
-    chosen, texts = chosen[some], [t for t, s in zip(texts, some.tolist()) if s]
-    if not texts:
-        return nothing
-    first, _, doc = RunIndex(texts, own[chosen], window).matching_statistics(texts)
-    count = shard.count[chosen]
+    by_text = np.argsort(shard.which, kind="stable")
+    edge = np.searchsorted(shard.which[by_text], np.arange(len(shard.texts) + 1))
+    size = np.array([len(shard.texts[i]) for i in chosen.tolist()], np.int64)
+    for part in by_gram(shard.gram[chosen], size, index):
+        texts = [shard.texts[i] for i in chosen[part].tolist()]
+        some = _shared(texts, own[chosen[part]], top[chosen[part]], window)
+        mine, texts = chosen[part][some], [t for t, s in zip(texts, some.tolist()) if s]
+        if texts:
+            occ = np.concatenate([by_text[edge[i] : edge[i + 1]] for i in mine.tolist()])
+            out += _marks(shard, mine, texts, own[mine], np.sort(occ), window)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _marks(shard: Shard, mine: np.ndarray, texts: list[bytes], own: np.ndarray, occ: np.ndarray, window: int) -> list[tuple]:
+    """Marks of the occurrences `occ` of the segments `mine`, from one index over their texts."""
+    first, _, doc = RunIndex(texts, own, window).matching_statistics(texts)
+    count = shard.count[mine]
     slot = np.full(len(shard.texts), -1)
-    slot[chosen] = np.arange(len(chosen))
+    slot[mine] = np.arange(len(mine))
     earliest = np.minimum.reduceat(doc, first)
-    occ = np.flatnonzero(slot[shard.which] >= 0)
     occ = occ[earliest[slot[shard.which[occ]]] < shard.doc[occ]]
     out = []
     for at in range(0, len(occ), 1 << 16):
@@ -220,7 +227,7 @@ def locate(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         close = np.flatnonzero(hit & (np.append(edge[1:], True) | ~np.append(hit[1:], False)))
         owner = np.repeat(some, reps)[begin]
         out.append((owner, shard.place[owner] + inner[begin], shard.place[owner] + inner[close] + window))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else nothing
+    return out
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD, block: int = BLOCK) -> DataFrame:

@@ -3,7 +3,8 @@
 Of the grams in a window the one of least hash is its minimizer; equal windows have equal minimizers at
 equal places. Consecutive windows that share a minimizer form a segment, and the minimizer's hash names
 the segment's shard, so equal windows meet there, wherever they lie. The number of shards follows the
-input, so a shard's size doesn't.
+input, so a shard's size doesn't; inside a shard, work is cut into parts by minimizer, so shards may be
+large and the rows that go to them few.
 
 Texts are read twice. The first time only five bytes of each minimizer's hash go to its shard, once a block,
 and the shard tells each block which of them occur elsewhere too; each block's answer is a bit a segment,
@@ -30,6 +31,9 @@ from pyspark.sql import DataFrame, functions as F
 from maillake.llm.common import HIT, bits_for, id_bitmap, id_position, lean, row_key, shared_dir, slices, stored, with_hit
 
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: after all others
+#: Low bits of a gram's hash that give way to its place in the block. One number for all blocks, so that equal
+#: windows break ties alike everywhere; a block has fewer units than this.
+PLACE_BITS = np.uint64(24)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -106,8 +110,9 @@ class Units:
         if n < self.window:
             return data, *[np.zeros(0, np.int64)] * 8
         order = grams(self._hash(words), self.gram) if self.words else byte_grams(data, self.gram)
-        bits = np.uint64(max(1, int(n).bit_length()))
-        low = (np.uint64(1) << bits) - np.uint64(1)
+        low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
+        if n > int(low):
+            raise ValueError("a block is too large")
         packed = (order & ~low) | np.arange(len(order), dtype=np.uint64)
         place = (sliding_least(packed, self.window - self.gram + 1) & low).astype(np.int64)
         ends = np.repeat(np.cumsum(sizes), sizes)  # a window is inside one text
@@ -177,12 +182,12 @@ def _blocks(units: Units, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tu
         yield block
 
 
-def _name(block: list[tuple[int, int, int, bytes]]) -> str:
+def _name(block: list[tuple[int, int, int, bytes]]) -> bytes:
     h = xxhash.xxh3_128()
     for i, _, place, t in block:
         h.update(f"{i} {place} {len(t)} ".encode())
         h.update(t)
-    return h.hexdigest()
+    return h.digest()
 
 
 def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -210,7 +215,7 @@ def _recurring(docs: DataFrame, units: Units, shards: int, folder: str) -> None:
             for shard, some in _groups((u % np.uint64(shards)).astype(np.int64)):
                 names.append(shard)
                 keys.append((u[some] // np.uint64(shards) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([_name(block)] * len(names)), pa.array(keys, pa.binary())], ["shard", "block", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([_name(block)] * len(names), pa.binary()), pa.array(keys, pa.binary())], ["shard", "block", "keys"])
 
     def answer(t: pa.Table) -> pa.Table:
         lists = []
@@ -226,7 +231,7 @@ def _recurring(docs: DataFrame, units: Units, shards: int, folder: str) -> None:
     def keep(t: pa.Table) -> pa.Table:
         store, root = fs.FileSystem.from_uri(folder)
         rows = {s: b for s, b in zip(t.column("shard").to_pylist(), t.column("bits").to_pylist())}  # blocks of equal texts have equal bits
-        name = t.column("block")[0].as_py()
+        name = t.column("block")[0].as_py().hex()
         part = f"{root}/.{name}-{uuid.uuid4().hex}"
         with store.open_output_stream(part) as f:
             for s in sorted(rows):
@@ -234,8 +239,8 @@ def _recurring(docs: DataFrame, units: Units, shards: int, folder: str) -> None:
         store.move(part, f"{root}/{name}")
         return pa.table({"n": pa.array([len(rows)], pa.int64())})
 
-    asked = _rows(docs).mapInArrow(lean(ask), "shard int, block string, keys binary")
-    answered = asked.groupBy("shard").applyInArrow(answer, "block string, shard int, bits binary")
+    asked = _rows(docs).mapInArrow(lean(ask), "shard int, block binary, keys binary")
+    answered = asked.groupBy("shard").applyInArrow(answer, "block binary, shard int, bits binary")
     answered.groupBy("block").applyInArrow(keep, "n bigint").agg(F.sum("n")).collect()
 
 
@@ -243,7 +248,7 @@ def _answers(folder: str, block: list) -> dict[int, bytes] | None:
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
-    path = f"{root}/{_name(block)}"
+    path = f"{root}/{_name(block).hex()}"
     if store.get_file_info(path).type == fs.FileType.NotFound:
         return None
     with store.open_input_stream(path) as f:
@@ -296,6 +301,17 @@ def spread(docs: DataFrame, units: Units, shards: int) -> DataFrame:
     return _rows(docs).mapInArrow(lean(run), "shard int, blob binary")
 
 
+def by_gram(gram: np.ndarray, size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Segments in parts of about `most` units; those of one minimizer, which alone can share windows, stay together."""
+    order = np.argsort(gram, kind="stable")
+    if not len(order):
+        return
+    total = np.cumsum(size[order]) - size[order]
+    first = np.flatnonzero(np.diff(gram[order], prepend=-1))
+    part = np.repeat(total[first] // most, np.diff(np.append(first, len(order))))
+    yield from np.split(order, np.flatnonzero(np.diff(part)) + 1)
+
+
 class Shard:
     """The distinct segments of a shard and where they occur."""
 
