@@ -40,9 +40,8 @@ def kept(key, make):
     return _KEPT[key]
 
 
-def _release() -> None:
-    """Drop what this worker keeps and give free pages back, so that idle workers of many stages stay small."""
-    _KEPT.clear()
+def trim() -> None:
+    """Give free pages of this process back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -51,6 +50,12 @@ def _release() -> None:
         pass
 
 
+def _release() -> None:
+    """Drop what this worker keeps, so that idle workers of many stages stay small."""
+    _KEPT.clear()
+    trim()
+
+
 def lean(run: Callable) -> Callable:
     """A function for mapInArrow or applyInArrow that leaves nothing behind in the worker when its task ends."""
 

@@ -27,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from maillake.llm.common import ROW, kept, lean, row_key, slices, table
+from maillake.llm.common import ROW, kept, lean, row_key, slices, table, trim
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 DOCS_PER_LANGUAGE, TRAIN_LETTERS, ROUNDS = 400, 1000, 4
-CACHE, BLOCK = 200_000, 1 << 18  # words whose scores a worker keeps; letters of a block
+CACHE, BLOCK = 200_000, 1 << 17  # words whose scores a worker keeps; letters of a block
 LONG = 256  # letters of a word from which it is summed by itself, letter after letter
 _WORDS = re.compile(r"[^\W\d_]+")
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -272,7 +272,10 @@ def fit(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> Model:
     counts: dict[str, Counter] = {r[0]: Counter() for r in chosen.select("lang").distinct().collect()}
     for r in found.toLocalIterator() if counts else ():
         counts[r["lang"]][r["word"]] = r["n"]
-    return train({k: c for k, c in counts.items() if c}, vocabulary(vocabulary_path))
+    model = train({k: c for k, c in counts.items() if c}, vocabulary(vocabulary_path))
+    del counts
+    trim()  # the driver goes on with other work
+    return model
 
 
 class Scorer:
