@@ -93,3 +93,56 @@ def test_query(spark, library):
         for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     }
     assert {r[0]: tuple(r)[1:] for r in pieces.query(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_the_arcs_of_the_normaliser(own):
+    n = own.normaliser
+    assert n.arcs == {0: {None: ("▁", 1)}, 1: {" ": ("▁", 1)}}
+    assert n("a b\t c") == "▁a▁b\t▁c" and n.back(b" a b") == b"a b"
+    assert pieces.Normaliser(False)("a b") == "a▁b"
+
+
+def test_the_arcs_of_the_pieces(own, library):
+    for text in ("▁hello", "the", "漢xé", "\u1234a", "aaaa"):
+        got = {(a, b, x) for a, b, x, _ in own.lattice(text)}
+        want = {(a, b, own.ids[text[a:b]]) for a in range(len(text)) for b in range(a + 1, len(text) + 1) if text[a:b] in own.ids}
+        want |= {(a, a + 1, -1 - ord(c)) for a, c in enumerate(text) if c not in own.ids}
+        assert got == want
+    state = own.pieces.root
+    for c in "▁the":
+        state = state[0][c]
+    assert state[1:] == [library.piece_to_id("▁the"), 0.0]
+
+
+def test_the_weights_of_the_order(own, library):
+    order, ids = own.order, own.ids
+    weight = lambda a, b: order[order.key(ids[a] if a else order.START, ids[b])]
+    assert weight("▁the", "re") == (0.0 if library.encode("there", out_type=str) == ["▁the", "re"] else float("inf"))
+    assert weight("t", "h") == float("inf") and weight("", "▁the") == 0.0
+    # every pair that the library puts side by side is allowed
+    for text in ("hello there, wanderer", "tokenisation of naïve text", "in the beginning"):
+        row = library.encode(text, out_type=str)
+        assert all(weight(a, b) == 0.0 for a, b in zip(row, row[1:]))
+    assert order.name(-1 - ord("é")) == "é"
+
+
+def test_exactly_one_path_is_finite(own, library):
+    """All paths through the lattice of short texts: one has a finite weight, the library's."""
+    for text in ("there", "inning", "aaaaa", "reentered", "▁wander", "xé漢"):
+        arcs = {}
+        for a, b, label, w in own.lattice(text):
+            arcs.setdefault(a, []).append((b, label, w))
+        finite = []
+
+        def walk(at, last, cost, path):
+            if at == len(text):
+                finite.append(path)
+                return
+            for b, label, w in arcs[at]:
+                x = cost + w + own.order[own.order.key(last, label)]
+                if x < float("inf"):
+                    walk(b, label, x, [*path, label])
+
+        walk(0, own.order.START, 0.0, [])
+        assert len(finite) == 1
+        assert own._path(text) == b"".join(map(own._packed, finite[0]))
