@@ -1,9 +1,9 @@
 """Spark-native engine for mail archives and training-data preparation."""
 
-from maillake.options import CompressionError, ConvertOptions, ReadError
+from maillake.options import CompressionError, ConvertOptions, ReadError, WorkerError
 
-__all__ = ["CompressionError", "CompressResult", "ConvertOptions", "ConvertStats", "ReadError", "compress_mbox", "convert", "parse_messages", "read_mbox", "register"]
-_HOME = {"CompressResult": "compress", "compress_mbox": "compress", "ConvertStats": "plans.convert", "convert": "plans.convert", "parse_messages": "functions.mime", "read_mbox": "sources.mbox", "register": "functions.sql"}
+__all__ = ["CompressionError", "CompressResult", "ConvertOptions", "ConvertStats", "ReadError", "WorkerError", "compress_mbox", "convert", "iter_messages", "parse_message", "parse_messages", "read_mbox", "register", "write_tables"]
+_HOME = {"CompressResult": "compress", "compress_mbox": "compress", "ConvertStats": "plans.convert", "convert": "plans.convert", "parse_messages": "functions.mime", "read_mbox": "sources.mbox", "iter_messages": "sources.mbox", "parse_message": "functions.mime", "write_tables": "operators.sinks", "register": "functions.sql"}
 
 
 def __getattr__(name: str):

@@ -12,7 +12,7 @@ from datetime import date
 from pathlib import Path
 
 from maillake.compress import EXTENSION, compress_mbox
-from maillake.options import CompressionError, ConvertOptions, ReadError, cores, zone
+from maillake.options import CompressionError, ConvertOptions, ReadError, WorkerError, cores, zone
 
 _POWER = {"": 0, "b": 0, "k": 10, "m": 20}
 
@@ -158,7 +158,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     try:
         stats = convert(spark or session(a.workers), a.mbox, a.outdir, options, on_error=on_error)
-    except (ReadError, CompressionError) as e:
+    except (ReadError, CompressionError, WorkerError) as e:
         say(f"error: {e}")
         return 1
     except KeyboardInterrupt:

@@ -214,6 +214,11 @@ def parse(raw: bytes, options: ConvertOptions) -> tuple[str, dict | None]:
     }
 
 
+def parse_message(raw: bytes, options: ConvertOptions | None = None) -> dict | None:
+    """One raw message as the columns of `msg`, in this process; None if the options leave it out. Raises what the parser raises."""
+    return parse(raw, options or ConvertOptions())[1]
+
+
 def _schema() -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

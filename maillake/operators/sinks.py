@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Files between two records of a log.
+LOGGED = 256
+
+
 def put(path: Path, data: bytes) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.parent / f".{path.name}.{uuid.uuid4().hex}.tmp"
@@ -33,21 +37,28 @@ def put_lines(path: Path, lines: Iterable[str]) -> None:
         part.unlink(missing_ok=True)
 
 
-def write_files(files: DataFrame, outdir: str | Path, keep: bool = False) -> int:
-    """Write files (path, data) below outdir, spread over tasks; `keep` leaves existing files as they are."""
+def write_files(files: DataFrame, outdir: str | Path, keep: bool = False, log: str | Path | None = None) -> int:
+    """Write files (path, data) below outdir, spread over tasks; `keep` leaves existing files as they are.
+
+    With `log`, a folder, the column `line` of each few files is written there once they are, so that a run that is killed
+    leaves a record of what it wrote.
+    """
     root = str(outdir)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = 0
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                target = Path(root) / path
-                if not (keep and target.exists()):
-                    put(target, data if isinstance(data, bytes) else data.encode("utf-8", "replace"))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+            for at in range(0, batch.num_rows, LOGGED):
+                part = batch.slice(at, LOGGED)
+                for path, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    target = Path(root) / path
+                    if not (keep and target.exists()):
+                        put(target, data if isinstance(data, bytes) else data.encode("utf-8", "replace"))
+                if log is not None:
+                    put(Path(log) / f"{uuid.uuid4().hex}.jsonl", "".join(f"{x}\n" for x in part.column(2).to_pylist()).encode())
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64())], ["n"])
 
-    return sum(r.n for r in files.select("path", "data").mapInArrow(run, "n bigint").groupBy().sum("n").withColumnRenamed("sum(n)", "n").collect() if r.n)
+    names = ["path", "data"] if log is None else ["path", "data", "line"]
+    return sum(r.n for r in files.select(names).mapInArrow(run, "n bigint").groupBy().sum("n").withColumnRenamed("sum(n)", "n").collect() if r.n)
 
 
 def prune(outdir: str | Path, stale: Iterable[str]) -> int:
@@ -67,8 +78,8 @@ def prune(outdir: str | Path, stale: Iterable[str]) -> int:
 
 
 def write_tables(messages: DataFrame, path: str) -> None:
-    """The message table as Parquet by year and month, for querying."""
+    """Parsed messages (msg.*) as Parquet by year and month, for querying; messages without a date have neither."""
     from pyspark.sql import functions as F
 
-    day = F.to_date(F.substring("date", 1, 10))
+    day = F.to_date(F.substring("date_iso", 1, 10))
     messages.withColumns({"year": F.year(day), "month": F.month(day)}).write.mode("overwrite").partitionBy("year", "month").parquet(path)

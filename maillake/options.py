@@ -16,6 +16,10 @@ class CompressionError(RuntimeError):
     """Compression or its verification failed."""
 
 
+class WorkerError(RuntimeError):
+    """The Spark job of a run failed: its workers could not start, were lost or ran out of attempts."""
+
+
 def cores() -> int:
     return max((os.cpu_count() or 2) - 1, 1)
 

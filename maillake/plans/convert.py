@@ -1,13 +1,16 @@
 """A whole conversion: mailbox to Markdown tree, attachment store, manifest, index, ledger and statistics.
 
-Headers are read with native columns, so label, known-key and duplicate filters run before the parser;
-copies are found on narrow rows and only the losers are taken out of the raw ones. The parsed rows are
-persisted, as four branches read them. Paths are made canonical and labels merged before
-anything is written, so no file is written twice.
+Headers are read with native columns in a first pass, and label, known-key and duplicate filters run on
+narrow rows. What they drop goes to the reading tasks as a list a range, so raw mail is never shuffled and
+a dropped message never leaves its reader. The parsed rows are persisted, as four branches read them.
+Paths are made canonical and labels merged before anything is written, so no file is written twice.
+Attachments are written first, then messages, each few with their manifest rows beside them: a run that is
+killed leaves those rows, and an incremental run goes on from there.
 """
 
 from __future__ import annotations
 
+import shutil
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -21,14 +24,16 @@ from maillake.functions.mime import decode_labels, parse_messages
 from maillake.operators import mail as M
 from maillake.operators import sinks
 from maillake.operators.render import document
-from maillake.options import ConvertOptions
-from maillake.schemas import ERRORS_FILE, INDEX_FILE, LEDGER_FILE, MANIFEST_FILE
+from maillake.options import ConvertOptions, WorkerError
+from maillake.schemas import ERRORS_FILE, INDEX_FILE, LEDGER_FILE, MANIFEST_FILE, PARTS_FOLDER
 from maillake.ship import ship
 from maillake.sources.manifest import dumps, previous_outputs, read_manifest
-from maillake.sources.mbox import check, read_mbox
+from maillake.sources.mbox import bytes_read, check, read_mbox
 
 
 ERROR_FIELDS = "key message_id error path".split()
+#: Narrow rows (renamed attachments, failed messages, shared paths) that are broadcast at most; more are joined.
+RENAMED = 100_000
 
 
 @dataclass
@@ -98,12 +103,27 @@ def convert(
     """Convert the mailbox at src into outdir. Both must be reachable by every executor.
 
     on_progress hears of each phase that ends; on_error(path, error) of each failed message. A dry run
-    writes nothing. One damaged message is an error row, never a failed run.
+    writes nothing. One damaged message is an error row, never a failed run. Raises ReadError if the
+    mailbox can't be read and WorkerError if the Spark job fails.
     """
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import AnalysisException, PySparkException
+
+    try:
+        return _convert(spark, src, outdir, options, on_error, on_progress)
+    except AnalysisException:
+        raise  # a mistake in the plan, not the workers' fault
+    except (Py4JJavaError, PySparkException) as e:
+        raise WorkerError(f"the run's Spark job failed: {str(e).splitlines()[0]}") from e
+
+
+def _convert(
+    spark: SparkSession, src: str | Path, outdir: str | Path | None, options: ConvertOptions, on_error: OnError | None, on_progress: OnProgress | None
+) -> ConvertStats:
     began = time.time()
     ship(spark)
     size, _ = check(src)
-    stats = ConvertStats(bytes_total=size, bytes_read=size, dry_run=options.dry_run)
+    stats = ConvertStats(bytes_total=size, bytes_read=bytes_read(spark, src, options.limit), dry_run=options.dry_run)
     tell = lambda: (setattr(stats, "elapsed_s", time.time() - began), on_progress(stats) if on_progress else None)
     dry = options.dry_run
     out = Path(outdir) if outdir is not None else Path(".")
@@ -124,8 +144,9 @@ def convert(
     incremental = options.incremental and not dry
     known = M.last_wins(previous.where("key <> ''"), "key", "line_no") if incremental else None
 
-    messages = with_headers(read_mbox(spark, src, unescape_from=options.unescape_from, limit=options.limit))
-    narrow = hold(messages.select("ordinal", "key", "labels", H.skips(F.col("labels"), options.skip_labels).alias("skip")))
+    reading = {"unescape_from": options.unescape_from, "limit": options.limit}
+    messages = with_headers(read_mbox(spark, src, places=True, **reading))
+    narrow = hold(messages.select("file", "start", "ordinal", "key", "labels", H.skips(F.col("labels"), options.skip_labels).alias("skip")))
     wanted = narrow.where("not skip")
     fresh = M.ranked(M.not_known(wanted, known) if known is not None else wanted)
     extra = fresh.where("copy > 1").drop("copy")
@@ -135,10 +156,9 @@ def convert(
     stats.duplicate_message_ids_skipped = extra.count()
     tell()
 
-    first = M.without_labels(messages, options.skip_labels)
-    if known is not None:
-        first = M.not_known(first, known)
-    first = first.join(extra.select("ordinal"), "ordinal", "left_anti")
+    gone = narrow.where("skip").select("file", "start", "ordinal").union(extra.select("file", "start", "ordinal"))
+    gone = gone.union(relabelled.select("file", "start", "ordinal"))
+    first = read_mbox(spark, src, drop=gone, **reading)
     parsed = hold(parse_messages(first, options, keep_data=not dry))
     status = {r["status"]: r["count"] for r in parsed.groupBy("status").count().collect()}
     stats.ok, stats.errors = status.get("ok", 0), status.get("error", 0)
@@ -152,7 +172,7 @@ def convert(
     )
     refs = _references(good)
     if known is not None:
-        refs = refs.union(_references(known.withColumn("ordinal", F.col("line_no") - (1 << 40))))
+        refs = refs.union(_references(known.withColumn("ordinal", F.col("line_no") - (1 << 60))))
     refs = hold(refs)
     index = hold(M.attachment_index(refs))
     best = index.select(F.col("hash").alias("h"), F.col("path").alias("best"))
@@ -194,14 +214,27 @@ def convert(
         _release(held)
         return stats
 
-    # collisions of paths: the later message wins, as a later write would
-    files = M.last_wins(written, "path", "ordinal").select("path", F.col("markdown").cast("binary").alias("data"))
-    sinks.write_files(files, out)
-    data = parsed.where("status = 'ok'").select(F.explode("msg.attachments").alias("a")).select("a.hash", "a.data")
-    data = data.join(best, F.col("hash") == F.col("h")).select(F.col("best").alias("path"), "data")
-    sinks.write_files(data.dropDuplicates(["path"]), out, keep=True)
+    # attachments: every copy may be written, under one name and with the same bytes, so none is moved to meet the others
+    data = parsed.where("status = 'ok'").select(F.explode("msg.attachments").alias("a")).select("a.hash", "a.ext", "a.data")
+    data = data.withColumn("path", F.concat(F.lit("attachments/"), F.substring("hash", 1, 2), F.lit("/"), "hash", "ext"))
+    odd = refs.join(best, F.col("hash") == F.col("h")).where("path <> best").select("h", "best").distinct()
+    if (n := odd.count()) <= RENAMED:
+        odd = F.broadcast(odd)  # at most RENAMED short rows; beyond, a join by hash
+    if n:
+        data = data.join(odd, F.col("hash") == F.col("h"), "left").withColumn("path", F.coalesce("best", "path"))
+    sinks.write_files(data, out, keep=True)
+    # messages; of those that share a path the later one wins, as a later write would
+    files = written
+    if stats.path_collisions:
+        beaten = M.ranked(written.select("path", "ordinal"), "path", "ordinal", last=True).where("copy > 1").select("ordinal")
+        files = files.join(F.broadcast(beaten) if stats.path_collisions <= RENAMED else beaten, "ordinal", "left_anti")
+    line = F.to_json(F.struct("key", "path", "message_id", F.col("date_iso").alias("date"), "subject", "labels", "thread_id", kind.alias("body"), "attachments", F.col("sender").alias("from")))
+    files = files.select("path", F.col("markdown").cast("binary").alias("data"), line.alias("line"))
+    sinks.write_files(files, out, log=out / PARTS_FOLDER)
     if stats.errors:
-        raws = messages.join(failed.select("ordinal", "path"), "ordinal").select("path", F.col("raw").alias("data"))
+        wrong = failed.select("ordinal", "path")
+        raws = read_mbox(spark, src, **reading).join(F.broadcast(wrong) if stats.errors <= RENAMED else wrong, "ordinal")
+        raws = raws.select("path", F.col("raw").alias("data"))
         sinks.write_files(raws.dropDuplicates(["path"]), out)
     tell()
 
@@ -215,7 +248,7 @@ def convert(
         for c in changed:
             _set_labels(out / c.path, c.labels)
         relabels += len(changed)
-        rows = canonical(again).withColumn("ordinal", F.col("line_no") - (1 << 40)).select(rows.columns).union(rows)
+        rows = canonical(again).withColumn("ordinal", F.col("line_no") - (1 << 60)).select(rows.columns).union(rows)
         _relink(refs, best, out)
     stats.labels_updated = relabels
     rows = hold(rows)
@@ -247,6 +280,7 @@ def convert(
         stats.stale_files = len(lost)
         ledger = spark.createDataFrame([(p,) for p in lost], "path string").union(current).distinct()
     sinks.put_lines(out / LEDGER_FILE, (r.path for r in ledger.orderBy("path").toLocalIterator()))
+    shutil.rmtree(out / PARTS_FOLDER, ignore_errors=True)
     _release(held)
     stats.elapsed_s = round(time.time() - began, 1)
     return stats

@@ -14,3 +14,5 @@ MANIFEST = (
     f"body string, attachments array<{ATTACHMENT}>, `from` string"
 )
 LEDGER_FILE, MANIFEST_FILE, INDEX_FILE, ERRORS_FILE = ".maillake-files", "messages.jsonl", "attachments/index.jsonl", "_unparsed/errors.jsonl"
+#: What tasks of an unfinished run have written, as manifest rows; a finished run leaves none.
+PARTS_FOLDER = ".maillake-parts"

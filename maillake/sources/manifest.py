@@ -8,7 +8,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maillake.schemas import INDEX_FILE, LEDGER_FILE, MANIFEST, MANIFEST_FILE
+from maillake.schemas import INDEX_FILE, LEDGER_FILE, MANIFEST, MANIFEST_FILE, PARTS_FOLDER
 
 
 def _whole_lines(path: Path) -> int:
@@ -26,13 +26,22 @@ def _whole_lines(path: Path) -> int:
 
 
 def read_manifest(spark: SparkSession, outdir: str | Path) -> DataFrame:
-    """Rows of the manifest with their line_no; broken rows are left out and missing fields have defaults."""
-    path = Path(outdir) / MANIFEST_FILE
-    if not path.exists():
+    """Rows of the manifest with their line_no; broken rows are left out and missing fields have defaults.
+
+    After them come the rows that tasks of an unfinished run have left.
+    """
+    path, parts = Path(outdir) / MANIFEST_FILE, Path(outdir) / PARTS_FOLDER
+    lines = None
+    if path.exists():
+        lines = spark.read.text(str(path)).withColumn("line_no", F.monotonically_increasing_id())
+        if _whole_lines(path) < path.stat().st_size:
+            lines = lines.where(F.col("line_no") < lines.agg(F.max("line_no")).first()[0])
+    if any(parts.glob("*.jsonl")):
+        # the folder's name begins with a dot, which Spark's sources pass over unless it is named itself
+        more = spark.read.text(str(parts)).withColumn("line_no", F.monotonically_increasing_id() + (1 << 58))
+        lines = more if lines is None else lines.union(more)
+    if lines is None:
         return spark.createDataFrame([], MANIFEST + ", line_no bigint")
-    lines = spark.read.text(str(path)).withColumn("line_no", F.monotonically_increasing_id())
-    if _whole_lines(path) < path.stat().st_size:
-        lines = lines.where(F.col("line_no") < lines.agg(F.max("line_no")).first()[0])
     rows = lines.select(F.from_json("value", MANIFEST + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("m"), "line_no")
     none = F.array().cast("array<string>")
     return rows.where("m is not null and m._bad is null and m.path is not null").select("m.*", "line_no").drop("_bad").withColumns(

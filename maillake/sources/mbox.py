@@ -224,25 +224,27 @@ def _raws(path: str, kind: str | None, first: int, stop: int) -> Iterator[bytes]
             yield data[begin:end]
 
 
-def _scan(unescape_from: bool, kinds: dict[str, str | None]):
+def _scan(unescape_from: bool, kinds: dict[str, str | None], places: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 rows: list[tuple[int, bytes]] = []
-                size, ordinal = 0, r["before"]
+                size, ordinal, start = 0, r["before"], r["start"] if places else None
+                drop = set(r["drop"] or ())
                 if 0 <= r["most"] <= ordinal:
                     continue
                 for raw in _raws(r["path"], kinds[r["path"]], r["start"], r["stop"]):
                     ordinal += 1
-                    rows.append((ordinal, unescape(raw) if unescape_from else raw))
-                    size += len(raw)
+                    if ordinal not in drop:
+                        rows.append((ordinal, unescape(raw) if unescape_from else raw))
+                        size += len(raw)
                     if size >= 4 << 20 or len(rows) >= 4096:
-                        yield _batch(r["path"], rows)
+                        yield _batch(r["path"], rows, start)
                         rows, size = [], 0
                     if ordinal == r["most"]:
                         break
                 if rows:
-                    yield _batch(r["path"], rows)
+                    yield _batch(r["path"], rows, start)
 
     return run
 
@@ -266,16 +268,27 @@ def bytes_read(spark: SparkSession, path: str | Path, limit: int | None) -> int:
     return size
 
 
-def _batch(path: str, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+def _batch(path: str, rows: list[tuple[int, bytes]], start: int | None = None) -> pa.RecordBatch:
     ordinals, raws = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(ordinals, pa.int64()), pa.array(raws, pa.binary())], ["file", "ordinal", "raw"])
+    cols = {"file": pa.array([path] * len(rows)), "ordinal": pa.array(ordinals, pa.int64()), "raw": pa.array(raws, pa.binary())}
+    if start is not None:
+        cols["start"] = pa.array([start] * len(rows), pa.int64())
+    return pa.RecordBatch.from_pydict(cols)
 
 
-def read_mbox(spark: SparkSession, path, *, unescape_from: bool = True, limit: int | None = None, split_bytes: int = SPLIT, strict: bool = False) -> DataFrame:
+def iter_messages(path: str | Path, *, unescape_from: bool = True) -> Iterator[bytes]:
+    """The raw messages of one mailbox, one after another, in this process."""
+    size, kind = check(path)
+    for raw in _raws(str(path), kind, 0, size) if size else ():
+        yield unescape(raw) if unescape_from else raw
+
+
+def read_mbox(spark: SparkSession, path, *, unescape_from: bool = True, limit: int | None = None, split_bytes: int = SPLIT, strict: bool = False, places: bool = False, drop: DataFrame | None = None) -> DataFrame:
     """(file, ordinal, raw) of one mailbox or several, which executors must be able to open by path.
 
     The raw message has neither separator; ordinals count from 1 in each file. `limit` keeps the first N
-    of each file. Several zstd frames or gzip members are read unless `strict`.
+    of each file. Several zstd frames or gzip members are read unless `strict`. With `places` each row has the
+    `start` of its range; rows (file, start, ordinal) of `drop` are passed over by the task that reads the range.
     """
     paths = [str(p) for p in ([path] if isinstance(path, (str, Path)) else path)]
     kinds, ranges = {}, []
@@ -286,7 +299,7 @@ def read_mbox(spark: SparkSession, path, *, unescape_from: bool = True, limit: i
         else:
             ranges += [(p, at, at + split_bytes) for at in range(0, size, split_bytes)]  # an empty file has none
     if not ranges:
-        return spark.createDataFrame([], MESSAGES)
+        return spark.createDataFrame([], MESSAGES + (", start bigint" if places else ""))
     # a range a task: rows of one partition are dealt out in turn
     plan = spark.createDataFrame(ranges, "path string, start bigint, stop bigint").coalesce(1).repartition(len(ranges))
     before = F.lit(0).cast("long")
@@ -297,4 +310,10 @@ def read_mbox(spark: SparkSession, path, *, unescape_from: bool = True, limit: i
         plan = numbered.unionByName(plan.where("stop < 0").withColumn("before", before)).coalesce(1).repartition(len(ranges))
     else:
         plan = plan.withColumn("before", before)
-    return plan.withColumn("most", F.lit(limit or -1).cast("long")).mapInArrow(_scan(unescape_from, kinds), MESSAGES)
+    plan = plan.withColumn("most", F.lit(limit or -1).cast("long"))
+    if drop is None:
+        plan = plan.withColumn("drop", F.lit(None).cast("array<bigint>"))
+    else:  # a list a range, which a range's size bounds
+        lists = drop.groupBy(F.col("file").alias("path"), "start").agg(F.collect_set("ordinal").alias("drop"))
+        plan = plan.join(lists, ["path", "start"], "left").coalesce(1).repartition(len(ranges))
+    return plan.mapInArrow(_scan(unescape_from, kinds, places), MESSAGES + (", start bigint" if places else ""))

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from maillake.operators import sinks
-from maillake.options import ConvertOptions, ReadError
+from maillake.options import ConvertOptions, ReadError, WorkerError
 from maillake.plans.convert import convert
 from tests import make_fixtures as fx
 
@@ -196,3 +196,68 @@ def test_gzip_input_and_missing_input(run, spark, tmp_path):
         ConvertOptions(incremental=True, prune=True)
     with pytest.raises(ValueError):
         ConvertOptions(tz="Nowhere/Land")
+
+
+def test_a_killed_run_is_resumed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "LOGGED", 1)
+    data = fx.attachments()
+    src, out = tmp_path / "x.mbox", tmp_path / "out"
+    src.write_bytes(data)
+    whole = convert(spark, src, tmp_path / "whole")
+    last = manifest(tmp_path / "whole")[-1]["path"]
+    (out / last).mkdir(parents=True)  # a folder where a message should go: the job fails after others are written
+    with pytest.raises(WorkerError):
+        convert(spark, src, out)
+    assert not (out / "messages.jsonl").exists()
+    left = len(list((out / ".maillake-parts").glob("*.jsonl")))
+    assert 0 < left < whole.ok
+    (out / last).rmdir()
+    s = convert(spark, src, out, ConvertOptions(incremental=True))
+    assert s.already_converted >= left and s.ok == whole.ok - left
+    assert not (out / ".maillake-parts").exists()
+    assert {m["key"]: m for m in manifest(out)} == {m["key"]: m for m in manifest(tmp_path / "whole")}
+    assert (out / ".maillake-files").read_text() == (tmp_path / "whole" / ".maillake-files").read_text()
+    links_resolve(out)
+
+
+def test_a_damaged_header_does_not_end_the_run(run):
+    names = ["From", "To", "Cc", "Subject", "Date", "Message-ID", "X-Gmail-Labels", "X-GM-THRID", "Content-Type"]
+    mail = b"From: a@example.com\nMessage-ID: <1@example.com>\nSubject: fine\n\nbody"
+    odd = [b"From: b@example.com\nX-No: %d\n" % i + n.encode() + b": Caf\xe9,Inbox\n\nbody" for i, n in enumerate(names)]
+    s, out = run("damaged", data=fx.box(mail, *odd, mail.replace(b"<1@", b"<2@")))
+    assert s.ok + s.errors == len(names) + 2 and s.ok >= 2
+    assert ["Caf�", "Inbox"] in [m["labels"] for m in manifest(out)]
+
+
+def test_raw_mail_and_attachments_are_not_shuffled(spark, tmp_path):
+    from maillake.plans.convert import with_headers
+    from maillake.sources.mbox import read_mbox
+
+    (tmp_path / "m").write_bytes(fx.labels())
+    rows = with_headers(read_mbox(spark, tmp_path / "m", places=True, split_bytes=700))
+    kept = read_mbox(spark, tmp_path / "m", split_bytes=700, drop=rows.where("ordinal % 2 = 0").select("file", "start", "ordinal"))
+    assert all(r.ordinal % 2 for r in kept.collect()) and kept.count() == (rows.count() + 1) // 2
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Exchange" not in above and "Join" not in above
+
+
+def test_limit_reports_the_bytes_it_read(run):
+    s, _ = run("basic", limit=2)
+    assert 0 < s.bytes_read < s.bytes_total
+    assert run("basic", out="all")[0].bytes_read == s.bytes_total
+
+
+def test_one_message_and_the_table(spark, tmp_path):
+    import maillake
+
+    (tmp_path / "m").write_bytes(fx.basic())
+    raws = list(maillake.iter_messages(tmp_path / "m"))
+    rows = [maillake.parse_message(r) for r in raws]
+    assert len(rows) == 8 and rows[0]["subject"] == "Plain text only"
+    assert maillake.parse_message(b"X-Gmail-Labels: Spam\n\nx") is None
+    msgs = maillake.parse_messages(maillake.read_mbox(spark, tmp_path / "m"), keep_data=False).where("status = 'ok'").select("msg.*")
+    maillake.write_tables(msgs, str(tmp_path / "table"))
+    back = spark.read.parquet(str(tmp_path / "table"))
+    assert back.count() == 8 and {(r.year, r.month) for r in back.collect()} <= {(2024, 1), (None, None)}
+    assert set(maillake.__all__) <= set(dir(maillake)) | {n for n in maillake.__all__ if getattr(maillake, n)}
