@@ -96,3 +96,20 @@ def test_stream_keeps_one_message_a_key(spark, tmp_path):
     (box / "new.eml").write_bytes(fx.mail("more", 1, "New"))
     ingest.ingest(ingest.raw_stream(spark, str(box)), table, state).awaitTermination()
     assert ingest.current(spark, table).count() == 9
+
+
+def test_stream_appends_merges_parts_and_ignores_retries(spark, tmp_path, monkeypatch):
+    from maillake.options import ConvertOptions
+    from maillake.streaming import ingest
+
+    monkeypatch.setattr(ingest, "FAN", 2)
+    table, options = str(tmp_path / "table"), ConvertOptions()
+    (tmp_path / "table").mkdir()
+    batches = [spark.createDataFrame([("f", k, fx.mail("m", k, f"No {k}")) for k in ks], "file string, ordinal long, raw binary") for ks in ((1, 2), (2, 3), (3,), (4,))]
+    for i, b in enumerate(batches):
+        ingest.merge(b, i, table, options)
+        ingest.merge(b, i, table, options)  # a retry
+        names = [n for n, _ in ingest._pointer(table)["parts"]]
+        assert ingest.current(spark, table).count() == len({r.key for r in ingest.current(spark, table).collect()}) == min(i + 2, 3) + (i == 3)
+    assert names and {p.name for p in (tmp_path / "table").iterdir() if p.is_dir()} <= set(names) | set(ingest._pointer(table)["left"])
+    assert [level for _, level in ingest._pointer(table)["parts"]] == [2]
