@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maillake.llm.common import table
+from maillake.llm.common import cut, table
 
 OTHER = "__other__"
 MARGINALS = ("source", "lang", "topic")
@@ -133,7 +133,7 @@ def drawn(rate: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, targets: dict = TARGETS, topic_of: Column | None = None, seed: int = SEED, keep: float | None = Copies(KEEP)) -> DataFrame:
     """One row per row of docs (doc_id, text, source, lang): doc_id, source, lang, topic, n_tokens, weight, probability (of any copy), copies, kept."""
-    rows = _cells(docs, targets, topic(F.col("text")) if topic_of is None else topic_of)
+    rows = cut(_cells(docs, targets, topic(F.col("text")) if topic_of is None else topic_of))  # narrow; texts are read once
     spark = docs.sparkSession
     found = calibrate(rows, targets, keep)
     cells = spark.createDataFrame(found, "source string, lang string, topic string, weight double, rate double")
