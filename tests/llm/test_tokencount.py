@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from maillake.llm import tokencount as tc
 
@@ -37,7 +38,8 @@ def test_query_equals_the_tokenizer(spark):
 
 def test_edge_rows(spark, tmp_path):
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (4, "<|endoftext|>"), (5, "w " * 30_000)]
-    written = tc.write_tokens(spark.createDataFrame(rows, DOCS), f"file://{tmp_path}")
+    df = spark.createDataFrame(rows, DOCS).withColumn("file", F.lit("clash")).withColumn("ordinal", F.lit(None).cast("int")).withColumn("n_tokens", F.lit("x"))
+    written = tc.write_tokens(df, f"file://{tmp_path}")
     counts = tc.count_tokens(written.select("file").distinct())
     encode = tc._encoding(open(tc.RANKS, "rb").read()).encode_ordinary
     got = sorted((r.doc_id, r.n_tokens) for r in written.join(counts, ["file", "ordinal"]).collect())
