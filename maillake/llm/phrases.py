@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from maillake.llm.common import table
 from maillake.llm.windows import Shard, Units, by_gram, by_shard, finish, mask, mixed, shards_for, spread
 
-WINDOW, GRAM, BLOCK, SHARD, INDEX = 35, 16, 4 << 20, 16 << 20, 4 << 20
+WINDOW, GRAM, BLOCK, SHARD, INDEX = 35, 16, 4 << 20, 8 << 20, 3 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,7 +104,8 @@ def phrase_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
     if gram & (gram - 1) or gram > window:
         raise ValueError("a gram is a power of two words, no longer than a window")
     shards = shards_for(docs, shard_bytes)
-    marks = by_shard(spread(docs, Units(True, window, gram, block), shards), lambda s: locate(s, window))
+    blobs, folder = spread(docs, Units(True, window, gram, block), shards)
+    marks = by_shard(blobs, lambda s: locate(s, window))
 
     def work(text: bytes, found: np.ndarray) -> tuple:
         words = text.split()
@@ -115,7 +116,7 @@ def phrase_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
             words_kept = words
         return len(words), len(words) - len(words_kept), hashlib.sha256(b" ".join(words_kept)).hexdigest()
 
-    return finish(docs, marks, work, "n_words long, n_removed long, kept_sha256 string")
+    return finish(docs, marks, folder, work, "n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from maillake.llm.common import table
 from maillake.llm.windows import Shard, Units, by_gram, by_shard, finish, mask, mixed, runs, shards_for, spread
 
-WINDOW, GRAM, BLOCK, SHARD, INDEX = 50, 16, 2 << 20, 12 << 20, 3 << 20
+WINDOW, GRAM, BLOCK, SHARD, INDEX = 50, 16, 2 << 20, 6 << 20, 2 << 20
 _PACK = 7  # symbols of 9 bits in one key
 
 
@@ -235,7 +235,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
     if gram & (gram - 1) or gram > window:
         raise ValueError("a gram is a power of two bytes, no longer than a window")
     shards = shards_for(docs, shard_bytes)
-    marks = by_shard(spread(docs, Units(False, window, gram, block), shards), lambda s: locate(s, window))
+    blobs, folder = spread(docs, Units(False, window, gram, block), shards)
+    marks = by_shard(blobs, lambda s: locate(s, window))
 
     def work(text: bytes, found: np.ndarray) -> tuple:
         if not len(found):
@@ -244,7 +245,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
         return len(text), len(text) - len(kept), len(runs(gone)[0]), hashlib.sha256(kept).hexdigest()
 
-    return finish(docs, marks, work, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return finish(docs, marks, folder, work, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from maillake.llm.common import HIT, bits_for, id_bitmap, id_position, lean, row_key, shared_dir, slices, stored, with_hit
+from maillake.llm.common import HIT, bits_for, id_bitmap, id_position, lean, row_key, shared_dir, slices, stored, trim, with_hit
 
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: after all others
 #: Low bits of a gram's hash that give way to its place in the block. One number for all blocks, so that equal
@@ -261,8 +261,8 @@ def _answers(folder: str, block: list) -> dict[int, bytes] | None:
     return out
 
 
-def spread(docs: DataFrame, units: Units, shards: int) -> DataFrame:
-    """(shard, blob) of docs (doc_id, text): segments whose minimizer recurs."""
+def spread(docs: DataFrame, units: Units, shards: int) -> tuple[DataFrame, str]:
+    """(shard, blob) of docs (doc_id, text): segments whose minimizer recurs; and the folder of answers that this needs."""
     from pyarrow import fs
 
     folder = f"{shared_dir(docs.sparkSession)}/recurring-{uuid.uuid4().hex}"
@@ -298,7 +298,7 @@ def spread(docs: DataFrame, units: Units, shards: int) -> DataFrame:
         for block in _blocks(units, batches):
             yield emit(block, press)
 
-    return _rows(docs).mapInArrow(lean(run), "shard int, blob binary")
+    return _rows(docs).mapInArrow(lean(run), "shard int, blob binary"), folder
 
 
 def by_gram(gram: np.ndarray, size: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -346,9 +346,13 @@ def by_shard(blobs: DataFrame, work: Callable[[Shard], tuple[np.ndarray, np.ndar
 
     def run(t: pa.Table) -> pa.Table:
         shard = Shard(t.column("blob").to_pylist())
+        del t
         which, start, stop = work(shard)
         cols = {"doc_id": shard.doc[which], "row": shard.row[which], "start": start, "stop": stop}
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in cols.items()})
+        out = pa.table({k: pa.array(c, pa.int64()) for k, c in cols.items()})
+        del shard
+        trim()  # a shard's Python objects are many times its size
+        return out
 
     return blobs.groupBy("shard").applyInArrow(run, "doc_id long, row long, start long, stop long")
 
@@ -358,10 +362,14 @@ def shards_for(docs: DataFrame, size: int) -> int:
     return max(1, -(-total // size))
 
 
-def finish(docs: DataFrame, marks: DataFrame, work: Callable[[bytes, list], tuple], schema: str) -> DataFrame:
+def finish(docs: DataFrame, marks: DataFrame, folder: str, work: Callable[[bytes, list], tuple], schema: str) -> DataFrame:
     """Apply work(text, marks) to each doc; only the texts that have marks are moved to meet them."""
+    from pyarrow import fs
+
     marks = stored(marks)
-    bits = bits_for(marks.count())
+    store, root = fs.FileSystem.from_uri(folder)
+    store.delete_dir(root)  # the marks are written, so no task asks again
+    bits = bits_for(marks.agg(F.approx_count_distinct("row")).first()[0])
     bitmap = id_bitmap(marks.select(id_position(F.col("row"), bits).alias("pos")))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = with_hit(docs.select("doc_id", F.col("text").cast("binary").alias("text"), key.alias("_key"), row_key().alias("_row")), F.col("_row"), bitmap, bits)
