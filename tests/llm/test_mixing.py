@@ -106,3 +106,61 @@ def test_query_delivers_the_targets(spark):
     for marginal in ("source", "lang", "topic"):
         for k, v in mixing.TARGETS[marginal].items():
             assert abs(tokens[r[marginal] == k].sum() / tokens.sum() - v) < 0.015
+
+
+def slow_mix(rows):
+    """The production query by definition: rows (doc_id, text, source, lang) -> doc_id: (cell, tokens, weight, copies)."""
+    import re
+    import struct
+
+    import xxhash
+
+    def form(text):
+        if text is not None and re.search(r"(?i)\blicen[cs]e\b", text):
+            return "licence"
+        if text is not None and " | " in text:
+            return "table"
+        return "noise" if text is not None and re.search(r"[%*&#$]{3}", text) else "prose"
+
+    cell_of, tokens = {}, {}
+    for i, text, source, lang in rows:
+        kinds = (source, lang, form(text))
+        cell_of[i] = tuple(k if k in mixing.TARGETS[m] else mixing.OTHER for k, m in zip(kinds, mixing.MARGINALS))
+        tokens[i] = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    cells = {}
+    for i, c in cell_of.items():
+        cells[c] = cells.get(c, 0) + tokens[i]
+    total = sum(cells.values())
+    fit = {c: n / total for c, n in cells.items()}
+    for _ in range(200):
+        for axis, m in enumerate(mixing.MARGINALS):
+            have = {}
+            for c, x in fit.items():
+                have[c[axis]] = have.get(c[axis], 0) + x
+            actual = {}
+            for c, n in cells.items():
+                actual[c[axis]] = actual.get(c[axis], 0) + n / total
+            known = {k: v for k, v in mixing.TARGETS[m].items() if actual.get(k, 0) > 0}
+            rest = 1 - actual.get(mixing.OTHER, 0)
+            want = {k: v / sum(known.values()) * rest for k, v in known.items()} | {mixing.OTHER: actual.get(mixing.OTHER, 0)}
+            fit = {c: x * (want.get(c[axis], 0) / have[c[axis]] if have[c[axis]] else 1) for c, x in fit.items()}
+    out = {}
+    for i, c in cell_of.items():
+        weight = fit[c] / (cells[c] / total) if cells[c] else 1.0
+        h = xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+        draw = (xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), h) % (1 << 52)) / (1 << 52)
+        rate = weight * mixing.KEEP
+        out[i] = (c, tokens[i], weight, int(rate) + (draw < rate - int(rate)))
+    return out
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    want = slow_mix([tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", "lang").collect()])
+    got = {r.doc_id: r for r in mixing.query(spark, sf).collect()}
+    assert set(got) == set(want) and len(want) == 200
+    for i, (cell, n, weight, copies) in want.items():
+        r = got[i]
+        assert ((r.source, r.lang, r.topic), r.n_tokens, r.copies, r.kept) == (cell, n, copies, copies > 0)
+        np.testing.assert_allclose(r.weight, weight, rtol=1e-6)
+        np.testing.assert_allclose(r.probability, min(1, weight * mixing.KEEP), rtol=1e-6)
