@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -270,7 +271,11 @@ def bytes_read(spark: SparkSession, path: str | Path, limit: int | None) -> int:
 
 def _batch(path: str, rows: list[tuple[int, bytes]], start: int | None = None) -> pa.RecordBatch:
     ordinals, raws = zip(*rows)
-    cols = {"file": pa.array([path] * len(rows)), "ordinal": pa.array(ordinals, pa.int64()), "raw": pa.array(raws, pa.binary())}
+    # one copy of all bytes; an array of objects would be looked at one by one
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, raws), np.int32, len(rows)), out=offsets[1:])
+    raw = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(raws))])
+    cols = {"file": pa.array([path] * len(rows)), "ordinal": pa.array(ordinals, pa.int64()), "raw": raw}
     if start is not None:
         cols["start"] = pa.array([start] * len(rows), pa.int64())
     return pa.RecordBatch.from_pydict(cols)
