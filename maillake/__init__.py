@@ -2,8 +2,8 @@
 
 from maillake.options import CompressionError, ConvertOptions, ReadError, WorkerError
 
-__all__ = ["CompressionError", "CompressResult", "ConvertOptions", "ConvertStats", "ReadError", "WorkerError", "compress_mbox", "convert", "iter_messages", "parse_message", "parse_messages", "read_mbox", "register", "write_tables"]
-_HOME = {"CompressResult": "compress", "compress_mbox": "compress", "ConvertStats": "plans.convert", "convert": "plans.convert", "parse_messages": "functions.mime", "read_mbox": "sources.mbox", "iter_messages": "sources.mbox", "parse_message": "functions.mime", "write_tables": "operators.sinks", "register": "functions.sql"}
+__all__ = ["AttachmentPart", "CompressionError", "CompressResult", "ConvertOptions", "ConvertStats", "ParsedMessage", "ReadError", "WorkerError", "compress_mbox", "convert", "iter_messages", "map_messages", "parse_message", "parse_messages", "read_mbox", "register", "write_tables"]
+_HOME = {"CompressResult": "compress", "compress_mbox": "compress", "ConvertStats": "plans.convert", "convert": "plans.convert", "parse_messages": "functions.mime", "read_mbox": "sources.mbox", "iter_messages": "sources.mbox", "parse_message": "functions.mime", "map_messages": "functions.mime", "AttachmentPart": "functions.mime", "ParsedMessage": "functions.mime", "write_tables": "operators.sinks", "register": "functions.sql"}
 
 
 def __getattr__(name: str):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from email import header, message_from_bytes, policy, utils
 from email.message import EmailMessage, Message
@@ -214,9 +215,71 @@ def parse(raw: bytes, options: ConvertOptions) -> tuple[str, dict | None]:
     }
 
 
-def parse_message(raw: bytes, options: ConvertOptions | None = None) -> dict | None:
-    """One raw message as the columns of `msg`, in this process; None if the options leave it out. Raises what the parser raises."""
-    return parse(raw, options or ConvertOptions())[1]
+@dataclass(frozen=True)
+class AttachmentPart:
+    """One attachment of a message."""
+
+    name: str
+    ext: str
+    content_type: str
+    hash: str
+    size: int
+    data: bytes | None
+
+
+@dataclass(frozen=True)
+class ParsedMessage:
+    """One message, with the fields of the column `msg`."""
+
+    key: str
+    path: str
+    message_id: str
+    date_iso: str | None
+    date_utc: datetime | None
+    offset_s: int | None
+    local_ts: datetime | None
+    sender: str
+    to: list[str]
+    cc: list[str]
+    subject: str
+    labels: list[str]
+    thread_id: str | None
+    body: str
+    body_kind: str | None
+    attachments: list[AttachmentPart]
+
+
+def parse_message(raw: bytes, options: ConvertOptions | None = None) -> ParsedMessage | None:
+    """One raw message, in this process; None if the options leave it out. Raises what the parser raises."""
+    _, found = parse(raw, options or ConvertOptions())
+    return None if found is None else ParsedMessage(**found | {"attachments": [AttachmentPart(**a) for a in found["attachments"]]})
+
+
+def map_messages(messages: DataFrame, work: Callable[[bytes], dict | None], schema: str) -> DataFrame:
+    """(file, ordinal, error, out) of (file, ordinal, raw): work(raw) as a struct of `schema`, null where it returns None.
+
+    A message on which work fails is an error row and never fails the rest.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = f"file string, ordinal bigint, error string, out struct<{schema}>"
+    arrow = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for r in batch.slice(at, 64).to_pylist():
+                    row = {"file": r["file"], "ordinal": r["ordinal"], "error": None, "out": None}
+                    try:
+                        row["out"] = work(r["raw"] or b"")
+                    except Exception as e:
+                        row["error"] = clean(repr(e))
+                    rows.append(row)
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return messages.select("file", "ordinal", "raw").mapInArrow(run, ddl)
 
 
 def _schema() -> pa.Schema:
@@ -226,10 +289,10 @@ def _schema() -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(PARSED))
 
 
-def parse_messages(messages: DataFrame, options: ConvertOptions = ConvertOptions(), keep_data: bool = True) -> DataFrame:
+def parse_messages(messages: DataFrame, options: ConvertOptions = ConvertOptions(), keep_data: bool = True, seen=None) -> DataFrame:
     """Parse (file, ordinal, raw): status is ok, label, date or error; one bad message never fails the rest.
 
-    Without `keep_data` attachment bytes are hashed and left behind.
+    Without `keep_data` attachment bytes are hashed and left behind. `seen`, an accumulator, counts the messages as tasks end.
     """
 
     schema = _schema()
@@ -253,6 +316,8 @@ def parse_messages(messages: DataFrame, options: ConvertOptions = ConvertOptions
                         a["data"] = None
                 rows.append(row)
                 size += len(raw)
+                if seen is not None:
+                    seen.add(1)
                 if len(rows) == 64 or size > 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, size = [], 0

@@ -102,8 +102,9 @@ def convert(
 ) -> ConvertStats:
     """Convert the mailbox at src into outdir. Both must be reachable by every executor.
 
-    on_progress hears of each phase that ends; on_error(path, error) of each failed message. A dry run
-    writes nothing. One damaged message is an error row, never a failed run. Raises ReadError if the
+    on_progress hears of each phase that ends and, while messages are parsed, twice a second of how many are;
+    on_error(path, error) of each failed message. A dry run writes nothing. One damaged message is an error
+    row, never a failed run. Raises ReadError if the
     mailbox can't be read and WorkerError if the Spark job fails.
     """
     from py4j.protocol import Py4JJavaError
@@ -159,8 +160,14 @@ def _convert(
     gone = narrow.where("skip").select("file", "start", "ordinal").union(extra.select("file", "start", "ordinal"))
     gone = gone.union(relabelled.select("file", "start", "ordinal"))
     first = read_mbox(spark, src, drop=gone, **reading)
-    parsed = hold(parse_messages(first, options, keep_data=not dry))
-    status = {r["status"]: r["count"] for r in parsed.groupBy("status").count().collect()}
+    seen = spark.sparkContext.accumulator(0)
+    parsed = hold(parse_messages(first, options, keep_data=not dry, seen=seen))
+
+    def progress() -> None:
+        stats.ok = seen.value  # messages whose task has ended; the exact counts follow
+        tell()
+
+    status = {r["status"]: r["count"] for r in _watched(lambda: parsed.groupBy("status").count().collect(), progress if on_progress else None)}
     stats.ok, stats.errors = status.get("ok", 0), status.get("error", 0)
     stats.skipped += status.get("label", 0)
     stats.out_of_range = status.get("date", 0)
@@ -286,6 +293,30 @@ def _convert(
     return stats
 
 
+def _watched(job: Callable, hear: Callable | None, every: float = 0.5):
+    """What job() returns; while it runs in a thread of its own, hear() is called in this one."""
+    if hear is None:
+        return job()
+    from pyspark import InheritableThread
+
+    out: dict = {}
+
+    def run() -> None:
+        try:
+            out["value"] = job()
+        except BaseException as e:
+            out["error"] = e
+
+    thread = InheritableThread(target=run)
+    thread.start()
+    while thread.is_alive():
+        thread.join(every)
+        hear()
+    if "error" in out:
+        raise out["error"]
+    return out["value"]
+
+
 def _plain(v):
     if isinstance(v, list):
         return [_plain(x) for x in v]

@@ -254,10 +254,32 @@ def test_one_message_and_the_table(spark, tmp_path):
     (tmp_path / "m").write_bytes(fx.basic())
     raws = list(maillake.iter_messages(tmp_path / "m"))
     rows = [maillake.parse_message(r) for r in raws]
-    assert len(rows) == 8 and rows[0]["subject"] == "Plain text only"
+    assert len(rows) == 8 and rows[0].subject == "Plain text only" and isinstance(rows[0], maillake.ParsedMessage)
     assert maillake.parse_message(b"X-Gmail-Labels: Spam\n\nx") is None
     msgs = maillake.parse_messages(maillake.read_mbox(spark, tmp_path / "m"), keep_data=False).where("status = 'ok'").select("msg.*")
     maillake.write_tables(msgs, str(tmp_path / "table"))
     back = spark.read.parquet(str(tmp_path / "table"))
     assert back.count() == 8 and {(r.year, r.month) for r in back.collect()} <= {(2024, 1), (None, None)}
     assert set(maillake.__all__) <= set(dir(maillake)) | {n for n in maillake.__all__ if getattr(maillake, n)}
+
+
+def test_progress_is_heard_while_messages_are_parsed(spark, tmp_path):
+    (tmp_path / "m").write_bytes(fx.attachments())
+    heard = []
+    s = convert(spark, tmp_path / "m", tmp_path / "out", on_progress=lambda x: heard.append((x.ok, x.elapsed_s)))
+    assert len(heard) > 4 and max(n for n, _ in heard) == s.ok == 10 and [t for _, t in heard] == sorted(t for _, t in heard)
+
+
+def test_any_function_maps_messages(spark, tmp_path):
+    import maillake
+
+    (tmp_path / "m").write_bytes(fx.basic())
+
+    def work(raw):
+        if b"HTML only" in raw:
+            raise ValueError("not this one")
+        return {"n": len(raw), "subject": raw.split(b"Subject: ")[1].split(b"\r\n")[0].decode()} if b"Cc: " in raw else None
+
+    rows = maillake.map_messages(maillake.read_mbox(spark, tmp_path / "m"), work, "n: bigint, subject: string").collect()
+    assert len(rows) == 8 and sum(r.error is not None for r in rows) == 1 and "not this one" in "".join(r.error or "" for r in rows)
+    assert [r.out.subject for r in rows if r.out] == ["With Cc"]
