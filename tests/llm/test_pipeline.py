@@ -57,3 +57,16 @@ def test_empty_table(spark):
     for _, stage in cp.STAGES:
         now = stage(spark, now, "")
         assert now.count() == 0
+
+
+def test_null_and_repeated_ids_are_dropped_by_their_own_text(spark):
+    same, other = "The quick brown fox and the lazy dog are here.", "Une phrase qui est tout autre chose que les autres."
+    rows = [(1, same), (1, other), (2, same + " "), (None, same), (None, other + "!"), (3, other + "!"), (3, other + "!"), (None, "x y z"), (None, "x  y z")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = sorted((str(r.doc_id), r.text) for r in cp.exact_dedup(spark, docs, "").collect())
+    assert exact == sorted([("2", same + " "), ("1", other), ("3", other + "!"), ("None", "x  y z")])
+    near = cp.near_dedup(spark, docs, "").collect()
+    prints = {}
+    for i, t in rows:
+        prints.setdefault(slow_print(t), set()).add((i is None, i or 0))
+    assert len(near) <= len(prints) and {(r.doc_id is None, r.doc_id or 0) for r in near} <= {min(ids) for ids in prints.values()}
