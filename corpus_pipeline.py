@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir); all but the last return the rows they keep with the columns of
 docs. Stages hold no state of each other: each sees what its predecessor kept, written and read again.
 
-Defined cases: rows with null text or without a letter leave at language ID; rows that share doc_id and
-text share their fate; an empty table stays empty; extra columns are carried to the last stage, which
-returns doc_id, n_tokens and ids.
+Defined cases: rows with null text or without a letter leave at language ID; of rows that repeat doc_id and
+text one passes exact dedup, and rows of one doc_id, or none, with different texts are judged each by its
+own; mixing may keep several copies of a document; an empty table stays empty; extra columns are carried
+to the last stage, which returns doc_id, n_tokens and ids.
 """
 
 from __future__ import annotations
