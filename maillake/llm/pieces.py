@@ -230,8 +230,9 @@ class Transducer:
             while state is not None:
                 states, out, weight = state
                 if out is not None:
-                    x = here + weight + (order[row + out] if order is not None else 0.0)
-                    if x < cost[end]:
+                    # weights of W aren't negative: an arc that is no better without one needs no look-up
+                    x = here + weight
+                    if x < cost[end] and (order is None or (x := x + order[row + out]) < cost[end]):
                         cost[end], label[end], come[end] = x, out, at
                 if end == n:
                     break
