@@ -1,8 +1,9 @@
 """Suffix-array dedup of bytes with a run-length index.
 
-Windows of 50 bytes are routed to shards by minimizer (see windows.py). A shard sorts the suffixes of its
-distinct repeated segments, keeps their Burrows-Wheeler transform as runs with the text places of each
-run's first and last row as samples, and forgets the suffix array. Segments then stream their matching
+Windows of 50 bytes are routed to shards by minimizer (see windows.py). A segment that shares no window with
+another text, but comes in several documents, is marked whole in all but the first. Of the other distinct
+repeated segments a shard sorts the suffixes, keeps their Burrows-Wheeler transform as runs with the text places
+of each run's first and last row as samples, and forgets the suffix array. Segments then stream their matching
 statistics from right to left: while the next byte heads the current run the row maps on; otherwise the
 nearest runs of that byte offer their sampled rows, and the longer common extension wins. Where 50 bytes
 match, the row lies in the class of all suffixes that begin with these 50 bytes, and the class knows the
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from maillake.llm.common import table
-from maillake.llm.windows import Shard, Units, by_gram, by_shard, finish, mask, mixed, runs, shards_for, spread
+from maillake.llm.windows import LOAD, Shard, Units, by_gram, by_shard, finish, mask, mixed, runs, shards_for, spread
 
 WINDOW, GRAM, BLOCK, SHARD, INDEX = 50, 16, 2 << 20, 6 << 20, 2 << 20
 _PACK = 7  # symbols of 9 bits in one key
@@ -158,8 +159,8 @@ class RunIndex:
         return first, lengths, docs
 
 
-def _shared(texts: list[bytes], least: np.ndarray, most: np.ndarray, window: int) -> np.ndarray:
-    """Which texts may have a window that two docs have: a test of window hashes, which spares the index the rest."""
+def _shared(texts: list[bytes], least: np.ndarray, most: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts may have a window that two docs have, and which may have one of another text: tests of window hashes, which spare the index the rest."""
     size = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data)
@@ -176,9 +177,12 @@ def _shared(texts: list[bytes], least: np.ndarray, most: np.ndarray, window: int
     start = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
     of = np.repeat(np.arange(len(texts)), count)[order]
     two = np.minimum.reduceat(least[of], start) < np.maximum.reduceat(most[of], start)
-    out = np.zeros(len(texts), bool)
-    out[of[np.repeat(two, np.diff(np.append(start, len(h))))]] = True
-    return out
+    two_texts = two & (np.minimum.reduceat(of, start) < np.maximum.reduceat(of, start))
+    docs, others = np.zeros((2, len(texts)), bool)
+    times = np.diff(np.append(start, len(h)))
+    docs[of[np.repeat(two, times)]] = True
+    others[of[np.repeat(two_texts, times)]] = True
+    return docs, others
 
 
 def locate(shard: Shard, window: int, index: int = INDEX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,13 +201,23 @@ def locate(shard: Shard, window: int, index: int = INDEX) -> tuple[np.ndarray, n
     by_text = np.argsort(shard.which, kind="stable")
     edge = np.searchsorted(shard.which[by_text], np.arange(len(shard.texts) + 1))
     size = np.array([len(shard.texts[i]) for i in chosen.tolist()], np.int64)
+
+    def of(some: np.ndarray) -> np.ndarray:
+        """Occurrences of texts, in order."""
+        n = edge[some + 1] - edge[some]
+        return np.sort(by_text[np.arange(n.sum()) + np.repeat(edge[some] - (np.cumsum(n) - n), n)])
+
     for part in by_gram(shard.gram[chosen], size, index):
         texts = [shard.texts[i] for i in chosen[part].tolist()]
-        some = _shared(texts, own[chosen[part]], top[chosen[part]], window)
-        mine, texts = chosen[part][some], [t for t, s in zip(texts, some.tolist()) if s]
+        some, other = _shared(texts, own[chosen[part]], top[chosen[part]], window)
+        # a text that shares no window with another one goes, whole, wherever its first doc is smaller
+        lone = chosen[part][some & ~other]
+        occ = of(lone)
+        occ = occ[own[shard.which[occ]] < shard.doc[occ]]
+        out.append((occ, shard.place[occ], shard.place[occ] + shard.count[shard.which[occ]] + window - 1))
+        mine, texts = chosen[part][other], [t for t, s in zip(texts, other.tolist()) if s]
         if texts:
-            occ = np.concatenate([by_text[edge[i] : edge[i + 1]] for i in mine.tolist()])
-            out += _marks(shard, mine, texts, own[mine], np.sort(occ), window)
+            out += _marks(shard, mine, texts, own[mine], of(mine), window)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -230,12 +244,12 @@ def _marks(shard: Shard, mine: np.ndarray, texts: list[bytes], own: np.ndarray,
     return out
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD, block: int = BLOCK) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD, block: int = BLOCK, load: int = LOAD) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if gram & (gram - 1) or gram > window:
         raise ValueError("a gram is a power of two bytes, no longer than a window")
     shards = shards_for(docs, shard_bytes)
-    blobs, folder = spread(docs, Units(False, window, gram, block), shards)
+    blobs, folder = spread(docs, Units(False, window, gram, block, load), shards)
     marks = by_shard(blobs, lambda s: locate(s, window))
 
     def work(text: bytes, found: np.ndarray) -> tuple:

@@ -6,11 +6,13 @@ the segment's shard, so equal windows meet there, wherever they lie. The number
 input, so a shard's size doesn't; inside a shard, work is cut into parts by minimizer, so shards may be
 large and the rows that go to them few.
 
-Texts are read twice. The first time only five bytes of each minimizer's hash go to its shard, once a block,
-and the shard tells each block which of them occur elsewhere too; each block's answer is a bit a segment,
-in a file of the shared folder. The second time only segments whose minimizer recurs leave, each text once
-a block however often it occurs, its places small numbers beside it, compressed. The answers only save
-work: a block that finds none (because rows came in another order) sends all its segments.
+Texts are cut in blocks, and what blocks send leaves in loads of several of them, so that a row holds what a
+load has for a shard; rows grow with loads times shards until each holds one segment. Texts are read twice.
+The first time only five bytes of each minimizer's hash are sent, to a count that COUNTED shards share, and it
+tells each load which of them occur elsewhere too; each load's answer is a bit a segment, in a file of the
+shared folder. The second time only segments whose minimizer recurs leave, each text once a load however
+often it occurs, its places small numbers beside it, compressed. The answers only save work: a load that
+finds none (because rows came in another order) sends all its segments.
 
 A row is known by its doc_id and a hash of doc_id and text, so that rows of different texts under one
 doc_id, or under none, each get marks of their own.
@@ -34,6 +36,8 @@ NO_ID = (1 << 63) - 1  # stands for a null doc_id: after all others
 #: Low bits of a gram's hash that give way to its place in the block. One number for all blocks, so that equal
 #: windows break ties alike everywhere; a block has fewer units than this.
 PLACE_BITS = np.uint64(24)
+#: Bytes of text whose segments leave together; shards whose minimizers are counted together; bytes of blobs in a batch.
+LOAD, COUNTED, BATCHED = 16 << 20, 4, 4 << 20
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -81,8 +85,8 @@ def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
 class Units:
     """How a text is cut into the units that windows are made of."""
 
-    def __init__(self, words: bool, window: int, gram: int, block: int):
-        self.words, self.window, self.gram, self.block = words, window, gram, block
+    def __init__(self, words: bool, window: int, gram: int, block: int, load: int = LOAD):
+        self.words, self.window, self.gram, self.block, self.load = words, window, gram, block, load
         self.known: dict[bytes, int] = {}
 
     def _hash(self, words: list[bytes]) -> np.ndarray:
@@ -182,20 +186,33 @@ def _blocks(units: Units, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tu
         yield block
 
 
-def _name(block: list[tuple[int, int, int, bytes]]) -> bytes:
+def _loads(units: Units, batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """Blocks in loads of bounded size."""
+    load, size = [], 0
+    for block in _blocks(units, batches):
+        load.append(block)
+        size += sum(len(t) for *_, t in block)
+        if size >= units.load:
+            yield load
+            load, size = [], 0
+    if load:
+        yield load
+
+
+def _name(load: list[list[tuple[int, int, int, bytes]]]) -> bytes:
     h = xxhash.xxh3_128()
-    for i, _, place, t in block:
-        h.update(f"{i} {place} {len(t)} ".encode())
-        h.update(t)
+    for block in load:
+        for i, _, place, t in block:
+            h.update(b"%d %d %d " % (i, place, len(t)))
+            h.update(t)
     return h.digest()
 
 
-def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, indexes in order) of the shards that occur."""
+def _sorted(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by shard that is stable, and (shard, start, stop) in it of the shards that occur."""
     order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        yield int(shard[order[a]]), order[a:b]
+    edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)).tolist()
+    return order, list(zip(shard[order[edges[:-1]]].tolist(), edges[:-1], edges[1:]))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -203,62 +220,80 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("binary"))
 
 
-def _recurring(docs: DataFrame, units: Units, shards: int, folder: str) -> None:
-    """Write, for each block, which of its segments have a minimizer that recurs."""
+def _recurring(docs: DataFrame, units: Units, counts: int, folder: str) -> None:
+    """Write, for each load, which of its segments have a minimizer that recurs."""
     from pyarrow import fs
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(units, batches):
-            _, key, ids, *_ = units.segments(block)
-            u = key.view(np.uint64)
-            names, keys = [], []
-            for shard, some in _groups((u % np.uint64(shards)).astype(np.int64)):
-                names.append(shard)
-                keys.append((u[some] // np.uint64(shards) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([_name(block)] * len(names), pa.binary()), pa.array(keys, pa.binary())], ["shard", "block", "keys"])
+        for load in _loads(units, batches):
+            u = np.concatenate([units.segments(block)[1] for block in load]).view(np.uint64)
+            order, found = _sorted((u % np.uint64(counts)).astype(np.int64))
+            five = (u[order] // np.uint64(counts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+            keys = [five[5 * a : 5 * b] for _, a, b in found]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, *_ in found], pa.int32()), pa.array([_name(load)] * len(found), pa.binary()), pa.array(keys, pa.binary())], ["count", "load", "keys"])
 
     def answer(t: pa.Table) -> pa.Table:
-        lists = []
-        for raw in t.column("keys").to_pylist():
-            wide = np.zeros((len(raw) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-            lists.append(wide.view("<u8").ravel())
-        # a key recurs if it comes more than once, from one block or several
-        _, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        bits = np.split(count[inverse] > 1, np.cumsum([len(x) for x in lists])[:-1])
-        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
+        raw = t.column("keys").to_pylist()
+        wide = np.zeros((sum(map(len, raw)) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
+        keys = wide.view("<u8").ravel()
+        # a key recurs if it comes more than once, from one load or several
+        order = np.argsort(keys)
+        same = np.diff(keys[order]) == 0
+        again = np.zeros(len(keys), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        ends = np.cumsum([len(x) // 5 for x in raw]).tolist()
+        bits = [np.packbits(again[a:b]).tobytes() for a, b in zip([0, *ends], ends)]
+        out = pa.table({"load": t.column("load"), "count": t.column("count"), "bits": pa.array(bits, pa.binary())})
+        del raw, wide, keys, order, same, again
+        trim()
+        return out
 
     def keep(t: pa.Table) -> pa.Table:
         store, root = fs.FileSystem.from_uri(folder)
-        rows = {s: b for s, b in zip(t.column("shard").to_pylist(), t.column("bits").to_pylist())}  # blocks of equal texts have equal bits
-        name = t.column("block")[0].as_py().hex()
+        rows = dict(sorted(zip(t.column("count").to_pylist(), t.column("bits").to_pylist())))  # loads of equal texts have equal bits
+        name = t.column("load")[0].as_py().hex()
         part = f"{root}/.{name}-{uuid.uuid4().hex}"
         with store.open_output_stream(part) as f:
-            for s in sorted(rows):
-                f.write(np.array([s, len(rows[s])], "<u4").tobytes() + rows[s])
+            f.write(np.array([len(rows), *rows, *map(len, rows.values())], "<u4").tobytes())
+            f.write(b"".join(rows.values()))
         store.move(part, f"{root}/{name}")
         return pa.table({"n": pa.array([len(rows)], pa.int64())})
 
-    asked = _rows(docs).mapInArrow(lean(ask), "shard int, block binary, keys binary")
-    answered = asked.groupBy("shard").applyInArrow(answer, "block binary, shard int, bits binary")
-    answered.groupBy("block").applyInArrow(keep, "n bigint").agg(F.sum("n")).collect()
+    asked = _rows(docs).mapInArrow(lean(ask), "count int, load binary, keys binary")
+    answered = asked.groupBy("count").applyInArrow(answer, "load binary, count int, bits binary")
+    answered.groupBy("load").applyInArrow(keep, "n bigint").agg(F.sum("n")).collect()
 
 
-def _answers(folder: str, block: list) -> dict[int, bytes] | None:
-    from pyarrow import fs
+class _Answers:
+    """What the first pass says of a load's segments, taken block by block."""
 
-    store, root = fs.FileSystem.from_uri(folder)
-    path = f"{root}/{_name(block).hex()}"
-    if store.get_file_info(path).type == fs.FileType.NotFound:
-        return None
-    with store.open_input_stream(path) as f:
-        raw = f.read()
-    out, at = {}, 0
-    while at < len(raw):
-        s, n = np.frombuffer(raw, "<u4", 2, at).tolist()
-        out[s] = raw[at + 8 : at + 8 + n]
-        at += 8 + n
-    return out
+    def __init__(self, folder: str, load: list[list], counts: int):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        path = f"{root}/{_name(load).hex()}"
+        self.counts, self.flat = counts, None
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            return
+        with store.open_input_stream(path) as f:
+            raw = f.read()
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        which, size = np.frombuffer(raw, "<u4", 2 * n, 4).astype(np.int64).reshape(2, n)
+        self.flat = np.unpackbits(np.frombuffer(raw, np.uint8, -1, 4 + 8 * n)).astype(bool)
+        self.next = np.zeros(counts, np.int64)  # the place of each count's next bit
+        self.next[which] = 8 * (np.cumsum(size) - size)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """Which of the next block's segments have a minimizer that recurs, as far as is known."""
+        if self.flat is None:
+            return np.arange(len(key))
+        count = (key.view(np.uint64) % np.uint64(self.counts)).astype(np.int64)
+        order = np.argsort(count, kind="stable")
+        many = np.bincount(count, minlength=self.counts)
+        at = np.arange(len(key)) + np.repeat(self.next - (np.cumsum(many) - many), many)
+        self.next += many
+        return np.sort(order[self.flat[at]])
 
 
 def spread(docs: DataFrame, units: Units, shards: int) -> tuple[DataFrame, str]:
@@ -269,34 +304,46 @@ def spread(docs: DataFrame, units: Units, shards: int) -> tuple[DataFrame, str]:
     folder = folder if ":" in folder.split("/")[0] else f"file://{folder}"
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    _recurring(docs, units, shards, folder)
-
-    def emit(block: list[tuple[int, int, int, bytes]], press) -> pa.RecordBatch:
-        data, key, ids, rows, where, count, begin, stop, gram = units.segments(block)
-        found = _answers(folder, block)
-        names, blobs = [], []
-        for shard, some in _groups((key.view(np.uint64) % np.uint64(shards)).astype(np.int64)):
-            if found is not None:
-                some = some[np.unpackbits(np.frombuffer(found[shard], np.uint8), count=len(some)).astype(bool)]
-            if not len(some):
-                continue
-            texts = [data[x:y] for x, y in zip(begin[some].tolist(), stop[some].tolist())]
+    counts = -(-shards // COUNTED)
+    _recurring(docs, units, counts, folder)
+
+    def emit(load: list[list[tuple[int, int, int, bytes]]], press) -> Iterator[pa.RecordBatch]:
+        answers = _Answers(folder, load, counts)
+        parts, texts, size = [], [], 0
+        for block in load:
+            data, *cols, gram = units.segments(block)
+            some = answers.of(cols[0])
+            if len(some):
+                key, ids, rows, where, count, begin, stop = (c[some] for c in cols)
+                parts.append((key, ids, rows, where, count, begin + size, stop + size, gram[0][some] - begin, gram[1][some] - gram[0][some]))
+                texts.append(data)
+                size += len(data)
+        if not parts:
+            return
+        data = b"".join(texts)
+        order, found = _sorted((np.concatenate([p[0] for p in parts]).view(np.uint64) % np.uint64(shards)).astype(np.int64))
+        ids, rows, where, count, begin, stop, lead, length = (np.concatenate(c)[order] for c in list(zip(*parts))[1:])
+        del parts, texts
+        names, blobs, size = [], [], 0
+        for shard, a, b in found:
             seen: dict[bytes, int] = {}
-            which = [seen.setdefault(t, len(seen)) for t in texts]
-            one = some[np.unique(np.array(which), return_index=True)[1]]
+            which = np.array([seen.setdefault(data[x:y], len(seen)) for x, y in zip(begin[a:b].tolist(), stop[a:b].tolist())])
+            one = a + np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))  # where each text comes first
             blobs.append(press.compress(_pack(
-                np.diff(ids[some], prepend=0).astype("<i8"), np.diff(rows[some], prepend=0).astype("<i8"), where[some].astype("<u4"), np.array(which, "<u4"),
-                np.array([len(t) for t in seen], "<u4"), count[one].astype("<u2"),
-                (gram[0][one] - begin[one]).astype("<u4"), (gram[1][one] - gram[0][one]).astype("<u4"),
+                np.diff(ids[a:b], prepend=0).astype("<i8"), np.diff(rows[a:b], prepend=0).astype("<i8"), where[a:b].astype("<u4"), which.astype("<u4"),
+                (stop[one] - begin[one]).astype("<u4"), count[one].astype("<u2"), lead[one].astype("<u4"), length[one].astype("<u4"),
                 np.frombuffer(b"".join(seen), np.uint8),
             )))
             names.append(shard)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+            size += len(blobs[-1])
+            if size >= BATCHED or b == len(order):
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+                names, blobs, size = [], [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for block in _blocks(units, batches):
-            yield emit(block, press)
+        for load in _loads(units, batches):
+            yield from emit(load, press)
 
     return _rows(docs).mapInArrow(lean(run), "shard int, blob binary"), folder
 

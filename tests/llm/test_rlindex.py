@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from maillake.llm import rlindex
+from maillake.llm import rlindex, windows
 
 DOCS = "doc_id long, text string"
 
@@ -101,3 +101,37 @@ def test_null_and_repeated_ids_of_different_texts(spark):
     stand_in = [((1 << 63) - 1 if i is None else i, t) for i, t in rows]
     want = sorted(("None" if i == (1 << 63) - 1 else str(i), n, g, h) for i, n, g, _, h in slow(stand_in, 50))
     assert got == want and {g for _, _, g, _ in got} > {0, len(passage)}
+
+
+def test_rows_that_leave_follow_loads_not_blocks(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé") for _ in range(6)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    blobs, _ = windows.spread(df, windows.Units(False, 50, 16, 1000), 20)  # some 90 blocks, 20 shards
+    assert blobs.count() == 20
+    blobs, _ = windows.spread(df, windows.Units(False, 50, 16, 1000, 30_000), 20)
+    assert 20 < blobs.count() <= 20 * -(-sum(len(t.encode()) for _, t in rows) // 30_000)
+
+
+@pytest.mark.parametrize("load", [1, 900, 4000])
+def test_loads_equal_brute_force(spark, load):
+    rows = passages(load)
+    df = spark.createDataFrame(rows, DOCS)
+    assert rows_of(rlindex.suffix_dedup(df, block=300, shard_bytes=500, load=load)) == slow(rows, 50)
+
+
+def test_copies_without_other_texts_need_no_index(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(50 + i, t) for i, t in enumerate(texts)] + [(90, texts[0][:200] + "!" + texts[0][200:])]
+    df = spark.createDataFrame(rows, DOCS)
+    blobs, _ = windows.spread(df, windows.Units(False, 50, 16, 4000), 1)
+    shard = windows.Shard([r.blob for r in blobs.collect()])
+    indexed, index = [], rlindex.RunIndex
+    monkeypatch.setattr(rlindex, "RunIndex", lambda texts, *a: indexed.extend(texts) or index(texts, *a))
+    which, start, stop = rlindex.locate(shard, 50)
+    assert 0 < len(indexed) < len(shard.texts) / 4
+    gone = {d: rlindex.mask(401, np.stack([start, stop], axis=1)[shard.doc[which] == d]).sum() for d in set(shard.doc.tolist())}
+    assert gone == {i: n for i, _, n, *_ in slow(rows, 50)}
+    assert rows_of(rlindex.suffix_dedup(df)) == slow(rows, 50)
