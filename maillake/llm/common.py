@@ -12,23 +12,12 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maillake.ship import ship as _ship
+from maillake.ship import SLICE, ship, slices  # noqa: F401  (part of this module for the operators)
 
 #: The white space of the contracts, as a Java and RE2 class.
 SPACE = r"[\x20\x09-\x0D]"
 
 
-#: Bytes of an Arrow batch between the JVM and Python, for sessions that set no bound themselves: what both sides hold a task.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the workers and bound the session's Arrow batches by bytes."""
-    _ship(spark)
-    if not spark._jsparkSession.sessionState().conf().contains(BATCH[0]):
-        spark.conf.set(*BATCH)
-
-
 _KEPT: dict = {}
 
 
@@ -69,17 +58,6 @@ def lean(run: Callable) -> Callable:
     return by_batch
 
 
-#: Bytes of text that one Python call takes from a batch, rows permitting.
-SLICE = 1 << 20
-
-
-def slices(batch: pa.RecordBatch, most: int = 512) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about SLICE bytes, so that a part's Python objects are bounded by bytes; one row at least."""
-    rows = max(1, min(most, batch.num_rows * SLICE // max(1, batch.nbytes)))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local master, as in tests, gets one of its own."""
     sc = spark.sparkContext

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from maillake.ship import slices
+
 
 #: Files between two records of a log.
 LOGGED = 256
+#: Bytes of a piece that are copied at once.
+STEP = 1 << 20
 
 
 def put(path: Path, data: bytes) -> None:
@@ -37,6 +43,88 @@ def put_lines(path: Path, lines: Iterable[str]) -> None:
         part.unlink(missing_ok=True)
 
 
+def write_whole(rows: DataFrame, outdir: str | Path, order: list[str], render: Callable[[dict], bytes], name: str | None = None) -> list[Path]:
+    """Write rows below outdir, one after another in order: a file for each value of the column `name`, or the one called name.
+
+    Tasks write a range of the rows each, which then is copied to its place in the file by tasks too: neither the driver nor
+    one task sees all of a file. Files are replaced at once; the one called name is written even without rows.
+    """
+    from pyspark import TaskContext
+    from pyspark.sql import functions as F
+
+    out, spark = Path(outdir), rows.sparkSession
+    folder = out / f".pieces-{uuid.uuid4().hex}"
+    folder.mkdir(parents=True)
+    root = str(folder)
+    if name is not None:
+        rows = rows.withColumn("name", F.lit(name))
+    by = ["name", *order] if name is None else order
+    columns = [c for c in rows.columns if c != "name"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, now, f = TaskContext.get().partitionId(), None, None
+        done: list[dict] = []
+        try:
+            for batch in batches:
+                for r in slices(batch):
+                    for x in r.to_pylist():
+                        if x["name"] != now or f is None:
+                            if f is not None:
+                                f.close()
+                            now, piece = x["name"], f"{root}/{task}-{uuid.uuid4().hex}"
+                            f = open(piece, "wb")
+                            done.append({"name": now, "task": task, "piece": piece})
+                        f.write(render({c: x[c] for c in columns}))
+        finally:
+            if f is not None:
+                f.close()
+        for d in done:
+            d["size"] = os.path.getsize(d["piece"])
+        yield pa.RecordBatch.from_pylist(done, pa.schema({"name": pa.string(), "task": pa.int64(), "piece": pa.string(), "size": pa.int64()}))
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with open(r["piece"], "rb") as f, open(r["part"], "r+b") as to:
+                    to.seek(r["at"])
+                    shutil.copyfileobj(f, to, STEP)
+            yield batch.select(["at"])
+
+    try:
+        # a row a task and file, so few
+        pieces = rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(write, "name string, task long, piece string, size long").collect()
+        whole, moves = {name: str(folder / "none")} if name is not None else {}, []
+        if name is not None:
+            Path(whole[name]).touch()
+        for k, (target, group) in enumerate(groupby(sorted(pieces, key=lambda r: (r.name, r.task)), key=lambda r: r.name)):
+            group = list(group)
+            if len(group) == 1:
+                whole[target] = group[0].piece
+                continue
+            whole[target], at = str(folder / f"whole-{k}"), 0
+            with open(whole[target], "wb") as f:
+                f.truncate(sum(r["size"] for r in group))
+            for r in group:
+                moves.append((r.piece, whole[target], at))
+                at += r["size"]
+        if moves:
+            plan = spark.createDataFrame(moves, "piece string, part string, at long").coalesce(1).repartition(min(len(moves), max(2, spark.sparkContext.defaultParallelism)))
+            plan.mapInArrow(copy, "at long").count()
+        for target, part in whole.items():
+            (out / target).parent.mkdir(parents=True, exist_ok=True)
+            os.replace(part, out / target)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    return sorted(out / target for target in whole)
+
+
+def line(row: dict) -> bytes:
+    """A row as a line of JSON, for write_whole."""
+    import json
+
+    return (json.dumps(row, ensure_ascii=False) + "\n").encode()
+
+
 def write_files(files: DataFrame, outdir: str | Path, keep: bool = False, log: str | Path | None = None) -> int:
     """Write files (path, data) below outdir, spread over tasks; `keep` leaves existing files as they are.
 
