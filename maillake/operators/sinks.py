@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import uuid
@@ -44,7 +45,7 @@ def put_lines(path: Path, lines: Iterable[str]) -> None:
 
 
 def write_whole(rows: DataFrame, outdir: str | Path, order: list[str], render: Callable[[dict], bytes], name: str | None = None) -> list[Path]:
-    """Write rows below outdir, one after another in order: a file for each value of the column `name`, or the one called name.
+    """Write rows below outdir, one after another in order: a file for each value of the column `_file`, or the one called name.
 
     Tasks write a range of the rows each, which then is copied to its place in the file by tasks too: neither the driver nor
     one task sees all of a file. Files are replaced at once; the one called name is written even without rows.
@@ -57,9 +58,9 @@ def write_whole(rows: DataFrame, outdir: str | Path, order: list[str], render: C
     folder.mkdir(parents=True)
     root = str(folder)
     if name is not None:
-        rows = rows.withColumn("name", F.lit(name))
-    by = ["name", *order] if name is None else order
-    columns = [c for c in rows.columns if c != "name"]
+        rows = rows.withColumn("_file", F.lit(name))
+    by = ["_file", *order] if name is None else order
+    columns = [c for c in rows.columns if c != "_file"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, now, f = TaskContext.get().partitionId(), None, None
@@ -68,10 +69,10 @@ def write_whole(rows: DataFrame, outdir: str | Path, order: list[str], render: C
             for batch in batches:
                 for r in slices(batch):
                     for x in r.to_pylist():
-                        if x["name"] != now or f is None:
+                        if x["_file"] != now or f is None:
                             if f is not None:
                                 f.close()
-                            now, piece = x["name"], f"{root}/{task}-{uuid.uuid4().hex}"
+                            now, piece = x["_file"], f"{root}/{task}-{uuid.uuid4().hex}"
                             f = open(piece, "wb")
                             done.append({"name": now, "task": task, "piece": piece})
                         f.write(render({c: x[c] for c in columns}))
@@ -120,11 +121,14 @@ def write_whole(rows: DataFrame, outdir: str | Path, order: list[str], render: C
 
 def line(row: dict) -> bytes:
     """A row as a line of JSON, for write_whole."""
-    import json
-
     return (json.dumps(row, ensure_ascii=False) + "\n").encode()
 
 
+def text(row: dict) -> bytes:
+    """The one column of a row as a line, for write_whole."""
+    return ("".join(row.values()) + "\n").encode()
+
+
 def write_files(files: DataFrame, outdir: str | Path, keep: bool = False, log: str | Path | None = None) -> int:
     """Write files (path, data) below outdir, spread over tasks; `keep` leaves existing files as they are.
 

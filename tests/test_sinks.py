@@ -35,3 +35,14 @@ def test_a_file_without_rows_is_there_and_old_ones_are_replaced(spark, tmp_path)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["x", "y"]
 
 
+def test_no_path_of_earlier_runs_passes_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from maillake.plans import registry
+
+    def refused(*_):
+        raise AssertionError("rows are streamed through the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    found = registry.QUERIES["q54_previous_outputs"](spark, "/root/testdata/sf0.001")
+    assert found.where("path like 'mail/%'").count() == 200 and registry.QUERIES["q53_manifest"](spark, "/root/testdata/sf0.001").count() > 0
