@@ -133,3 +133,24 @@ def test_json_keeps_text_that_looks_like_an_escape(spark):
     texts = ["a\\u000Bb", "\\\\u000B", "\x0b", "\\\x0b", "\x0b\x0b\\u001F\x1f", "\\\\\x1a\\u001A", "\x7f\\u007F", "plain", "", "é\"\\n\n"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(render.scalar(F.col("t")).alias("j")).collect()
     assert [r.j for r in rows] == [json.dumps(t, ensure_ascii=False) for t in texts]
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from maillake.plans import registry
+    from maillake.ship import BATCH, slices
+
+    if spark._jsparkSession.sessionState().conf().contains(BATCH[0]):
+        spark.conf.unset(BATCH[0])
+    registry.QUERIES["q41_tidy_whitespace"](spark, "/root/testdata/sf0.001")
+
+    @F.pandas_udf("long")
+    def held(s):
+        return s.map(lambda _: int(s.map(len).sum()))
+
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    assert rows.select(held("t").alias("n")).agg(F.max("n")).first()[0] <= BATCH[1] + 200_000
+    parts = list(slices(pa.RecordBatch.from_pydict({"t": ["x" * 100_000] * 40})))
+    assert sum(p.num_rows for p in parts) == 40 and max(p.num_rows for p in parts) <= 11
