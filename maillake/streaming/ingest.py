@@ -44,12 +44,17 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(*[f"{path}/{name}" for name, _ in parts]) if parts else None
 
 
+def spread(messages: DataFrame) -> DataFrame:
+    """The messages of a batch over all cores: all rows of a file may be in one of its splits, and parsing is most of the work."""
+    return messages.repartition(2 * messages.sparkSession.sparkContext.defaultParallelism)
+
+
 def merge(batch: DataFrame, batch_id: int, path: str, options: ConvertOptions) -> None:
     """Add the messages whose key the table doesn't have; a batch seen before changes nothing."""
     spark, now = batch.sparkSession, _pointer(path)
     if batch_id <= now["batch"]:
         return
-    rows = parse_messages(batch, options, keep_data=False).where("status = 'ok'").select("msg.*")
+    rows = parse_messages(spread(batch), options, keep_data=False).where("status = 'ok'").select("msg.*")
     new, old = M.first_wins(rows, "key", "date_utc"), current(spark, path)
     if old is not None:
         new = M.not_known(new, old.select("key"))

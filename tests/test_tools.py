@@ -113,3 +113,11 @@ def test_stream_appends_merges_parts_and_ignores_retries(spark, tmp_path, monkey
         assert ingest.current(spark, table).count() == len({r.key for r in ingest.current(spark, table).collect()}) == min(i + 2, 3) + (i == 3)
     assert names and {p.name for p in (tmp_path / "table").iterdir() if p.is_dir()} <= set(names) | set(ingest._pointer(table)["left"])
     assert [level for _, level in ingest._pointer(table)["parts"]] == [2]
+
+
+def test_a_batch_of_one_split_is_parsed_by_many_tasks(spark):
+    from maillake.streaming import ingest
+
+    batch = spark.createDataFrame([("f", k, fx.mail("m", k, f"No {k}")) for k in range(40)], "file string, ordinal long, raw binary").coalesce(1)
+    per_task = ingest.spread(batch).rdd.glom().map(len).collect()
+    assert sum(per_task) == 40 and max(per_task) <= 40 // spark.sparkContext.defaultParallelism + 1
