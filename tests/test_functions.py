@@ -154,3 +154,13 @@ def test_batches_to_python_are_bounded_by_bytes(spark):
     assert rows.select(held("t").alias("n")).agg(F.max("n")).first()[0] <= BATCH[1] + 200_000
     parts = list(slices(pa.RecordBatch.from_pydict({"t": ["x" * 100_000] * 40})))
     assert sum(p.num_rows for p in parts) == 40 and max(p.num_rows for p in parts) <= 11
+
+
+def test_the_mime_stage_has_bounded_batches_too(spark):
+    from maillake.plans import registry
+    from maillake.ship import BATCH
+
+    if spark._jsparkSession.sessionState().conf().contains(BATCH[0]):
+        spark.conf.unset(BATCH[0])
+    assert registry.QUERIES["q43_mime_attachments"](spark, "/root/testdata/sf0.001").count() > 0
+    assert int(spark.conf.get(BATCH[0])) == BATCH[1]
