@@ -28,12 +28,14 @@ from maillake.options import ConvertOptions, WorkerError
 from maillake.schemas import ERRORS_FILE, INDEX_FILE, LEDGER_FILE, MANIFEST_FILE, PARTS_FOLDER
 from maillake.ship import ship
 from maillake.sources.manifest import dumps, previous_outputs, read_manifest
-from maillake.sources.mbox import bytes_read, check, read_mbox
+from maillake.sources.mbox import SPLIT, bytes_read, check, read_mbox
 
 
 ERROR_FIELDS = "key message_id error path".split()
 #: Narrow rows (renamed attachments, failed messages, shared paths) that are broadcast at most; more are joined.
 RENAMED = 100_000
+#: Bytes of a range at least.
+LEAST_SPLIT = 4 << 20
 
 
 @dataclass
@@ -145,7 +147,9 @@ def _convert(
     incremental = options.incremental and not dry
     known = M.last_wins(previous.where("key <> ''"), "key", "line_no") if incremental else None
 
-    reading = {"unescape_from": options.unescape_from, "limit": options.limit}
+    # four ranges a core, so that a mailbox of a few SPLITs is parsed by all of them
+    split = min(SPLIT, max(LEAST_SPLIT, size // (4 * spark.sparkContext.defaultParallelism)))
+    reading = {"unescape_from": options.unescape_from, "limit": options.limit, "split_bytes": split}
     messages = with_headers(read_mbox(spark, src, places=True, **reading))
     narrow = hold(messages.select("file", "start", "ordinal", "key", "labels", H.skips(F.col("labels"), options.skip_labels).alias("skip")))
     wanted = narrow.where("not skip")
@@ -259,12 +263,10 @@ def _convert(
         _relink(refs, best, out)
     stats.labels_updated = relabels
     rows = hold(rows)
-    names = [c for c in rows.columns if c != "ordinal"]
-    lines = (dumps({c: _plain(r[c]) for c in names}) for r in rows.orderBy("ordinal").toLocalIterator())
-    sinks.put_lines(out / MANIFEST_FILE, lines)
+    sinks.write_whole(rows, out, ["ordinal"], lambda r: sinks.line({k: v for k, v in r.items() if k != "ordinal"}), MANIFEST_FILE)
     if (out / "attachments").exists():
-        listed = index.withColumn("_first", F.col("messages")[0]).orderBy("hash").toLocalIterator()
-        sinks.put_lines(out / INDEX_FILE, (dumps({"hash": r["hash"], "path": r.path, "size": r.size, "names": dict(r.names), "messages": r.messages}) for r in listed))
+        listed = index.select("hash", "path", "size", "names", "messages")
+        sinks.write_whole(listed, out, ["hash"], lambda r: sinks.line(r | {"names": dict(r["names"])}), INDEX_FILE)
     errors = failed.orderBy("ordinal").collect() if stats.errors else []
     for e in errors:
         if on_error:
@@ -286,7 +288,7 @@ def _convert(
     else:
         stats.stale_files = len(lost)
         ledger = spark.createDataFrame([(p,) for p in lost], "path string").union(current).distinct()
-    sinks.put_lines(out / LEDGER_FILE, (r.path for r in ledger.orderBy("path").toLocalIterator()))
+    sinks.write_whole(ledger, out, ["path"], sinks.text, LEDGER_FILE)
     shutil.rmtree(out / PARTS_FOLDER, ignore_errors=True)
     _release(held)
     stats.elapsed_s = round(time.time() - began, 1)
@@ -317,12 +319,6 @@ def _watched(job: Callable, hear: Callable | None, every: float = 0.5):
     return out["value"]
 
 
-def _plain(v):
-    if isinstance(v, list):
-        return [_plain(x) for x in v]
-    return v.asDict() if hasattr(v, "asDict") else v
-
-
 def _set_labels(path: Path, labels: list[str]) -> None:
     """Replace the labels line of a message file's front matter."""
     if not path.is_file():
